@@ -8,12 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.llm.scratch import Scratch
+
 #: A mix over more sources than this is refused: the plan for each source lies on the driver.
 MAX_SOURCES = 1_000_000
 #: Plans of up to this many sources are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 _BUCKET_BITS = 14
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: Sequence[int], weights: Sequence[float], cap: float = 3.0) -> list[float]:
@@ -82,9 +83,11 @@ def plan_mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3
     spark = df.sparkSession
     extra = [F.struct(*carry).alias("row")] if carry else []
     text = F.coalesce(F.col(text_col), F.lit(""))
+    size = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long")
     place = F.xxhash64(F.lit(seed), F.col(id_col)).bitwiseAND(F.lit(2**63 - 1))
-    work = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), place.alias("place"), *extra)
-    sizes = work.select("source", "size", F.shiftright("place", 63 - _BUCKET_BITS).alias("bucket"), "place")
+    work = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), place.alias("place"), *extra)
+    kept = Scratch(spark, "mix").save(work.select("doc_id", "source", "size", "place"))  # the texts' only reading, but for carry's
+    sizes = kept.select("source", "size", F.shiftright("place", 63 - _BUCKET_BITS).alias("bucket"), "place")
 
     found = sizes.groupBy("source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -123,7 +126,7 @@ def plan_mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3
     dealt = np.cumsum(splitting_tree(np.array(quotas, np.int64), shards, seed), axis=0) if rows else np.zeros((shards, 0), np.int64)
     rows = [(*r, dealt[:, i].tolist()) for i, r in enumerate(rows)]
     schema = "source string, source_size long, target double, full int, stop long, n_blocks long, ends array<long>"
-    joined = _on_source(work, near(spark.createDataFrame(rows, schema)))
+    joined = _on_source(work if carry else kept, near(spark.createDataFrame(rows, schema)))
 
     times = F.col("full") + F.when(F.col("place") <= F.col("stop"), 1).otherwise(0)
     # place is below 2**63, so its block is the integer part of place / 2**63 * n_blocks, in whole numbers.

@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
-#: Lines that carry one of these are page furniture (fixed values).
+#: Short lines that carry one of these are page furniture (fixed values).
 BOILERPLATE = (
     "all rights reserved", "click here", "cookie policy", "enable javascript", "privacy policy", "read more", "sign up", "subscribe now", "terms of service", "terms of use",
 )
-#: A line fails with more symbols than this for each word.
-SYMBOLS_A_WORD = 0.3
-#: A line of SHOUT_LETTERS letters or more fails if more than this share are capitals.
-SHOUT_SHARE, SHOUT_LETTERS = 0.6, 12
-#: A line of ECHO_WORDS words or more fails if fewer than this share are different.
-ECHO_SHARE, ECHO_WORDS = 0.25, 20
-#: A line fails with this many separators and at most NAV_WORDS words for each.
-NAV_MARKS, NAV_WORDS = 3, 3
+BOILERPLATE_CHARS = 120
+#: A line fails if more than this share of its characters are symbols.
+SYMBOL_SHARE = 0.05
+#: A line fails as a navigation bar with this many separators, if they come at most NAV_CHARS characters apart.
+NAV_MARKS, NAV_CHARS = 3, 30
+#: A line fails as shouting with this many capitals, if they are more than this share of its characters.
+SHOUT_CAPITALS, SHOUT_SHARE = 10, 0.4
 #: A document that loses more than this share of its characters goes.
 LOST_SHARE = 0.4
 
@@ -25,11 +24,11 @@ LOST_SHARE = 0.4
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: base measures, lines that failed, kept, and the cleaned text.
 
-    Each line with a word is held against rules for punctuation and symbols,
-    capitals, navigation bars, echoing words and boilerplate; failing lines
-    are removed, and a document goes if it loses more than LOST_SHARE of the
-    characters of its lines. base_failed (fewer than 50 words, or more than
-    half of them in repeated 3-word windows) rules out kept.
+    Each line is held against rules for symbols, capitals, navigation bars and
+    boilerplate; failing lines are removed, and a document goes if it loses
+    more than LOST_SHARE of the characters of its lines. base_failed (fewer
+    than 50 words, or more than half of them in repeated 3-word windows) rules
+    out kept.
 
     All of it is a projection: no shuffle, whatever the sources' shares. A
     null or empty text has no words and fails. Very long texts cost
@@ -39,45 +38,40 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(
-        "*", F.expr(f"filter(split(text, r'{WORD_SPLIT}'), w -> w != '')").alias("words"), F.expr("filter(split(text, '\\n'), l -> l rlike r'[^\\x20\\x09-\\x0D]')").alias("lines")
-    )
+        "doc_id", "text", F.expr(f"array_remove(split(text, r'{WORD_SPLIT}'), '')").alias("words"), F.split("text", "\n").alias("lines"),
+        # One pass leaves each line's capitals and symbols, a small part of the text, for the rules.
+        F.split(F.regexp_replace("text", r"[^\p{Lu}#*$%&|<>»·•\n]+", ""), "\n").alias("marks"),
+    )
     rows = rows.select(
-        "doc_id", "text", "words", "lines", F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        "doc_id", "lines", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(F.array_join("marks", ""), r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.expr(r"filter(lines, l -> l rlike r'[^\x20\x09-\x0D]')").alias("solid"),
         F.expr("CASE WHEN size(words) < 3 THEN array() ELSE slice(transform(words, (w, i) -> xxhash64(w, get(words, i + 1), get(words, i + 2))), 1, size(words) - 2) END").alias("windows"),
-        F.expr(f"filter(lines, l -> {line_fails('l')})").alias("failed"),
+        F.expr(f"filter(lines, (l, i) -> {line_fails('l', 'get(marks, i)')})").alias("failed"),
+        F.expr(f"filter(lines, (l, i) -> NOT {line_fails('l', 'get(marks, i)')})").alias("clean"),
     )
-    rows = rows.withColumn(
-        "sorted", F.expr("CASE WHEN size(array_distinct(windows)) < size(windows) THEN array_sort(transform(windows, (h, i) -> named_struct('h', h, 'i', i))) END")
-    )
+    rows = rows.withColumn("sorted", F.expr("CASE WHEN size(array_distinct(windows)) < size(windows) THEN sort_array(transform(windows, (h, i) -> named_struct('h', h, 'i', i))) END"))
     rows = rows.withColumn("twice", F.expr("filter(sorted, (x, j) -> x.h <=> get(sorted, j - 1).h OR x.h <=> get(sorted, j + 1).h)"))
-    covered = F.expr("coalesce(size(array_distinct(flatten(transform(twice, x -> array(x.i, x.i + 1, x.i + 2))))), 0)")
+    covered = F.expr("greatest(size(array_distinct(flatten(transform(twice, x -> array(x.i, x.i + 1, x.i + 2))))), 0)")
     rows = rows.select(
-        "doc_id", "text", "lines", "failed", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.greatest(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.length(F.array_join("lines", "")).alias("line_chars"), F.length(F.array_join("failed", "")).alias("lost_chars"),
+        "doc_id", "n_words", "word_chars", "n_symbols", (F.size("solid") - F.size(F.array_distinct("solid"))).cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"),
+        F.size("solid").cast("long").alias("n_lines"), F.size("failed").cast("long").alias("n_failed_lines"),
+        F.length(F.array_join("failed", "")).cast("long").alias("lost_chars"), F.length(F.array_join("lines", "")).alias("line_chars"), F.array_join("clean", "\n").alias("clean_text"),
     )
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
-        (~base_failed & (F.col("lost_chars") <= LOST_SHARE * F.col("line_chars"))).alias("kept"),
-        F.size("lines").cast("long").alias("n_lines"), F.size("failed").cast("long").alias("n_failed_lines"), F.col("lost_chars").cast("long").alias("lost_chars"),
-        F.expr(f"array_join(filter(split(text, '\\n'), l -> NOT ({line_fails('l')} AND l rlike r'[^\\x20\\x09-\\x0D]')), '\\n')").alias("clean_text"),
+        (~base_failed & (F.col("lost_chars") <= LOST_SHARE * F.col("line_chars"))).alias("kept"), "n_lines", "n_failed_lines", "lost_chars", "clean_text",
     )
 
 
-def line_fails(line: str) -> str:
-    """SQL for whether a line fails a rule."""
-    n_words = f"regexp_count({line}, r'[^\\x20\\x09-\\x0D]+')"
-    symbols = f"(length({line}) - length(translate({line}, '#*$%&|<>', '')))"
-    marks = f"(length({line}) - length(translate({line}, '|>»·•', '')))"
-    capitals = f"length(regexp_replace({line}, r'\\P{{Lu}}+', ''))"
-    letters = f"length(regexp_replace({line}, r'\\P{{L}}+', ''))"
-    different = f"size(array_distinct(split({line}, r'{WORD_SPLIT}')))"
-    furniture = " OR ".join(f"contains(lower({line}), '{x}')" for x in BOILERPLATE)
+def line_fails(line: str, marks: str) -> str:
+    """SQL for whether a line fails a rule; ``marks`` are its capitals and symbols in order."""
+    symbols = f"length(regexp_replace({marks}, r'[^#*$%&|<>]+', ''))"
+    bars = f"length(regexp_replace({marks}, r'[^|>»·•]+', ''))"
+    capitals = f"length(regexp_replace({marks}, r'[#*$%&|<>»·•]+', ''))"
     return (
-        f"({symbols} > {SYMBOLS_A_WORD} * {n_words} OR ({marks} >= {NAV_MARKS} AND {n_words} <= {NAV_WORDS} * {marks})"
-        f" OR ({letters} >= {SHOUT_LETTERS} AND {capitals} > {SHOUT_SHARE} * {letters})"
-        f" OR ({n_words} >= {ECHO_WORDS} AND {different} < {ECHO_SHARE} * {n_words}) OR {furniture})"
+        f"(CASE WHEN length({marks}) = 0 THEN false ELSE {symbols} > {SYMBOL_SHARE} * length({line}) OR ({bars} >= {NAV_MARKS} AND length({line}) <= {NAV_CHARS} * {bars})"
+        f" OR ({capitals} >= {SHOUT_CAPITALS} AND {capitals} > {SHOUT_SHARE} * length({line})) END"
+        f" OR (length({line}) <= {BOILERPLATE_CHARS} AND lower({line}) rlike '{'|'.join(BOILERPLATE)}'))"
     )

@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import exact_dedup, mixing, packing, quality_rules, token_counts
+from foliant.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(documents(spark, sf_dir))
     return planned.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,6 +39,10 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_counts, op6_quality_rules, op7_exact_dedup, op9_pack)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_token_counts, op6_quality_rules, op7_exact_dedup, op9_pack, op10_quality_classifier)}
 
 ORACLES: dict[str, str] = {}
