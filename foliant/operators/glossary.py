@@ -31,7 +31,7 @@ def _runs(blocks: DataFrame, min_run: int) -> DataFrame:
     b = b.withColumn("run", F.min("at").over(run)).withColumn("n", F.count(F.lit(1)).over(run)).withColumn("tables", F.min((F.col("kind") == "table").cast("int")).over(run))
     b = b.withColumn("led", F.coalesce(F.max(F.when(F.col("at") == F.col("run"), F.col("titled"))).over(run), F.lit(0)))
     b = b.withColumn("need", F.when(F.col("led") == 1, 2).when(F.col("tables") == 1, 3).otherwise(min_run))
-    return b.where("n >= need").select("doc_id", (F.col("run") - 1).alias("run"), "at", "p", "need", "ord")
+    return b.where("n >= need").select("doc_id", (F.col("run") - 1).cast("long").alias("run"), "at", "p", "need", "ord")
 
 
 def glossary(blocks: DataFrame, tagged: DataFrame | None = None, house: DataFrame | None = None, min_run: int = 4) -> DataFrame:

@@ -22,10 +22,12 @@ def gram_occurrences(blocks: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
         f"filter(sequence(1, length(kinds) - 1), i -> substr(kinds, i, 1) IN ('C', 's', 'n') AND length(split_part(substr(kinds, i, {max_len}), 'x', 1)) >= 2"
         f" AND substr(kinds, i, {max_len}) LIKE '%C%C%')"
     )
-    b = b.withColumn("starts", starts).where("size(starts) > 0").select("*", F.explode("starts").alias("i")).drop("starts")
-    b = b.select("doc_id", "ord", "path", "t", "kinds", "i", F.explode(F.expr(f"sequence(2, least({max_len}, length(kinds) - i + 1))")).alias("n"))
-    b = b.where(T.gram_ok(F.substring("kinds", F.col("i"), F.col("n"))))
-    return b.select("doc_id", "ord", "path", "n", (F.col("i") - 1).alias("i"), F.array_join(F.slice("t", F.col("i"), F.col("n")), " ").alias("phrase"))
+    # Windows are cut before they explode: a row carries six tokens and not its whole block.
+    windows = F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice("t", i, max_len).alias("t"), F.substring("kinds", i, F.lit(max_len)).alias("kinds")))
+    b = b.select("doc_id", "ord", "path", F.explode(windows).alias("w")).select("doc_id", "ord", "path", "w.*")
+    b = b.select("doc_id", "ord", "path", "t", "kinds", "i", F.explode(F.expr("sequence(2, length(kinds))")).alias("n"))
+    b = b.where(T.gram_ok(F.substring("kinds", F.lit(1), F.col("n"))))
+    return b.select("doc_id", "ord", "path", "n", (F.col("i") - 1).alias("i"), F.array_join(F.slice("t", F.lit(1), F.col("n")), " ").alias("phrase"))
 
 
 def phrase_counts(blocks: DataFrame, floor: int = 2, max_len: int = MAX_LEN) -> DataFrame:
