@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import acronyms, counts, glossary, jobs, orgs, pages, phrases, spelling
+from foliant.operators import acronyms, counts, glossary, jobs, judgment, orgs, pages, phrases, spelling
 from foliant.plans import adapters as A
+from foliant.plans import findings as plans
+from foliant.plans import report
+from foliant.sources import markup, pdf
+from foliant.streaming import intake
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -311,7 +318,7 @@ p AS (SELECT *, list_filter(string_split(low, '-'), lambda x: x <> '') AS parts
 k AS (SELECT DISTINCT low FROM p), dw AS (SELECT word, freq, length(word) AS len FROM d),
 c AS (SELECT low, arg_min(word, (-freq, word)) AS suggestion FROM k JOIN dw ON len BETWEEN length(low) - 1 AND length(low) + 1 WHERE damerau_levenshtein(low, word) = 1 GROUP BY low),
 q AS (SELECT doc_id, spot, raw, suggestion, low, parts, list_contains([{_in(spelling.PREFIXES)}], parts[1]) AND array_to_string(parts[2:], '-') IN (SELECT word FROM d) AS prefixed,
-  len(list_filter(parts, lambda x: NOT list_contains((SELECT list(word) FROM d), x))) = 0 AS compound FROM p JOIN c USING (low)),
+  len(list_filter(parts, lambda x: NOT list_contains(known, x))) = 0 AS compound FROM p JOIN c USING (low), (SELECT list(word) AS known FROM d)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS k FROM q WHERE NOT (contains(low, '-') AND (prefixed OR compound OR suggestion = replace(low, '-', ''))))"""
 )
 
@@ -361,3 +368,81 @@ def prune_jobs(spark, sf_dir):
 def reap_expired(spark, sf_dir):
     j = A.order_jobs(spark, sf_dir)
     return jobs.expired(j.select("job_id", F.col("created").alias("modified")), j, 1_000_000_000)
+
+
+def _word_geometry(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Documents as pages of 40 lines of text with a running header and a folio, each word with a place."""
+    b = A.document_blocks(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"), "ord")
+    b = b.select("doc_id", (F.col("ord").cast("int") * 1000 + F.expr("pos div 12")).alias("row"), F.expr("pos % 12").alias("col"), "text")
+    words = b.select("doc_id", F.expr("1 + (row div 1000) div 4").cast("int").alias("page_no"), (F.col("col") * 40.0).alias("x0"), (F.col("col") * 40.0 + 38).alias("x1"), (100 + F.expr("(row div 1000) % 4") * 150.0 + F.expr("row % 1000") * 12.0 + F.expr("col % 3")).alias("top"), F.lit(10.0).alias("size"), "text")
+    words = words.withColumn("bottom", F.col("top") + 10)
+    pages_ = words.select("doc_id", "page_no").distinct().withColumn("height", F.lit(800.0))
+    header = pages_.select("doc_id", "page_no", F.posexplode(F.array(F.lit("Running"), F.lit("Header"))).alias("p", "text")).select("doc_id", "page_no", (F.col("p") * 60.0).alias("x0"), (F.col("p") * 60.0 + 50).alias("x1"), F.lit(20.0).alias("top"), F.lit(8.0).alias("size"), "text", F.lit(30.0).alias("bottom"))
+    return words.unionByName(header), pages_
+
+
+@query()
+def pdf_lines(spark, sf_dir):
+    return pdf.lines(_word_geometry(spark, sf_dir)[0])
+
+
+@query()
+def pdf_body_size(spark, sf_dir):
+    return pdf.body_size(pdf.lines(_word_geometry(spark, sf_dir)[0]))
+
+
+@query()
+def pdf_boilerplate(spark, sf_dir):
+    words, pages_ = _word_geometry(spark, sf_dir)
+    return pdf.boilerplate(pdf.lines(words), pages_)
+
+
+@query()
+def pdf_reflow(spark, sf_dir):
+    rows = pdf.lines(_word_geometry(spark, sf_dir)[0])
+    return pdf.reflow(rows, pdf.body_size(rows))
+
+
+@query()
+def xml_walk(spark, sf_dir):
+    files = A.table(spark, sf_dir, "pages").select(F.concat("page_id", F.lit(".xml")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return markup.parse_files(files)[0]
+
+
+def _part_findings(spark, sf_dir):
+    b = A.part_definitions(spark, sf_dir)
+    words = A.table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("freq"))
+    return b, plans.gather(b, words, A.HOUSE)
+
+
+@query()
+def findings(spark, sf_dir):
+    return report.findings_json(*_part_findings(spark, sf_dir))
+
+
+@query()
+def markdown_report(spark, sf_dir):
+    return report.render(*_part_findings(spark, sf_dir))
+
+
+@query()
+def judgments(spark, sf_dir):
+    """Findings judged by a stand-in that answers without a network."""
+    answer = json.dumps({"acronym_table": [], "acronym_issues": [], "misspellings": [], "customer": {"primary": ""}})
+
+    def transport():
+        return lambda messages, tokens: (answer, "stop", {"completion_tokens": 1}, "stand-in", "none")
+
+    judged = judgment.judge_documents(report.findings_json(*_part_findings(spark, sf_dir)), transport, "Judge.")
+    return judged.select("doc_id", F.get_json_object("judgment", "$._meta.model_reported").alias("model"), F.get_json_object("judgment", "$.customer.primary").alias("primary"))
+
+
+@query(ORACLES["recurring_phrases"])
+def stream_intake(spark, sf_dir):
+    """The same phrases from a file stream of documents, run until nothing is left."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/foliant"
+    base = f"{where}/stream-{uuid.uuid4().hex}"
+    schema = A.table(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
+    intake.phrase_stream(stream, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch").withColumnRenamed("count", "uses")
