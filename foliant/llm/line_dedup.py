@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A chunk ends after a line if the first hex digit of the rolling hash is one of these: one in four.
 ENDS = "0123"
 #: Chunks of fewer lines or characters than this aren't compared.
 LEAST_LINES, LEAST_CHARS = 2, 40
+#: Stands before the letter that marks a chunk's end; one in a text is marked itself.
+_MARK = "\u0001"
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,15 +32,17 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("text_hash", F.md5("text")).withColumn("lines", F.split("text", "\n"))
-    rows = rows.withColumn("hashes", F.transform("lines", lambda line: F.md5(line)))
-    ends = F.expr(f"filter(sequence(0, size(lines) - 1), i -> i = size(lines) - 1 OR (i > 0 AND instr('{ENDS}', left(md5(concat(hashes[i - 1], hashes[i])), 1)) > 0))")
-    rows = rows.withColumn("ends", ends)
-    chunks = F.expr("transform(ends, (e, k) -> slice(lines, IF(k = 0, 1, ends[k - 1] + 2), e - IF(k = 0, -1, ends[k - 1])))")
-    rows = rows.select("doc_id", "text_hash", F.size("lines").cast("long").alias("n_lines"), chunks.alias("chunks"))
+    # All steps over lines are linear string and array operations: none looks up another computed array by place.
+    lines = F.split(F.replace("text", F.lit(_MARK), F.lit(_MARK + "a")), "\n")
+    hashes = F.transform(F.split("text", "\n"), lambda line: F.md5(line))
+    before = F.concat(F.array(F.lit("")), hashes)
+    ends = F.zip_with(hashes, before, lambda h, b: (b != "") & F.left(F.md5(F.concat(b, h)), F.lit(1)).isin(*ENDS))
+    marked = F.zip_with(lines, ends, lambda line, end: F.concat(line, F.when(end, F.lit(_MARK + "b")).otherwise(F.lit(""))))
+    chunks = F.transform(F.split(F.regexp_replace(F.array_join(F.slice(marked, F.lit(1), F.size(lines)), "\n"), f"{_MARK}b\\z", ""), f"{_MARK}b\n"), lambda c: F.replace(c, F.lit(_MARK + "a"), F.lit(_MARK)))
+    rows = rows.select("doc_id", F.md5("text").alias("text_hash"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), chunks.alias("chunks"))
 
-    parts = rows.select("doc_id", "text_hash", F.posexplode("chunks").alias("k", "chunk")).where(F.size("chunk") >= LEAST_LINES)
-    parts = parts.withColumn("bytes", F.array_join("chunk", "\n")).where(F.length("bytes") >= LEAST_CHARS)
+    parts = rows.select("doc_id", "text_hash", F.posexplode("chunks").alias("k", "bytes"))
+    parts = parts.where((_lines("bytes") >= LEAST_LINES) & (F.length("bytes") >= LEAST_CHARS))
     place = F.struct("doc_id", "text_hash", "k")
     same = parts.groupBy("bytes").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"))
     same = same.select(F.md5("bytes").alias("chunk_hash"), "times", "first")
@@ -51,13 +55,17 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     out = out.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     removed = F.expr("filter(chunks, (c, k) -> array_contains(gone, k))")
-    stays = F.expr("flatten(filter(chunks, (c, k) -> NOT array_contains(gone, k)))")
+    stays = F.expr("filter(chunks, (c, k) -> NOT array_contains(gone, k))")
     return out.select(
         "doc_id", "n_lines", F.size("chunks").cast("long").alias("n_chunks"), F.size("gone").cast("long").alias("n_removed_chunks"),
-        F.size(F.flatten(removed)).cast("long").alias("n_removed_lines"), F.array_join(stays, "\n").alias("clean_text"),
+        F.when(F.size("gone") > 0, _lines(F.array_join(removed, "\n"))).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"), F.array_join(stays, "\n").alias("clean_text"),
     )
 
 
+def _lines(text: str | Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
 ORACLE = f"""
 WITH rows_ AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines_ AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM rows_),
