@@ -105,5 +105,5 @@ def house_hits(blocks: DataFrame, house: list[tuple[str, str]]) -> DataFrame:
 def house_merge(blocks: DataFrame, glossary: DataFrame, house: list[tuple[str, str]]) -> DataFrame:
     """(doc_id, acronym, expansion): house acronyms that occur in a document which doesn't define them itself."""
     hits = house_hits(blocks, house).select("doc_id", "acronym").join(glossary.select("doc_id", "acronym").distinct(), ["doc_id", "acronym"], "left_anti")
-    meaning: Column = F.create_map(*[F.lit(x) for pair in house for x in pair]) if house else F.create_map()
+    meaning: Column = F.create_map(*[F.lit(x) for pair in house for x in pair]) if house else F.map_from_arrays(F.array(F.lit("")), F.array(F.lit("")))
     return hits.select("doc_id", "acronym", meaning[F.col("acronym")].alias("expansion"))
