@@ -30,7 +30,7 @@ def value(spark, column):
 @pytest.mark.parametrize(
     "gram, keep",
     [
-        ("Corrective Action", True), ("Failure Mode", True), ("STORM II", True), ("Level 3 Maintenance", True), ("Block 2 Upgrade", True), ("Class A Mishap", False), ("Voltage V", False), ("L3 Insight", False),
+        ("Corrective Action", True), ("Failure Mode", True), ("MARK II", True), ("Level 3 Maintenance", True), ("Block 2 Upgrade", True), ("Class A Mishap", False), ("Voltage V", False), ("L3 Insight", False),
         ("ST2-611-A1 Voltage V 50V 60 68", False), ("the Corrective Action", False), ("corrective action", False), ("Corrective", False),
     ],
 )
