@@ -14,8 +14,10 @@ from foliant.llm.components import connected_components
 from foliant.llm.scratch import Scratch
 
 #: Coordinates of a signature, and how many of them two documents must share to be compared in full.
-#: A pair at similarity 0.75 shares fewer than 20 of 48 once in some 10 million times.
+#: A pair at similarity 0.75 shares fewer than 20 of 48 once in some 5 million times.
 COORDINATES, LEAST = 48, 20
+#: Shingles that this share of a component's neighbours holds (and three at least) come last in their order.
+COMMON_SHARE = 0.02
 _rng = np.random.Generator(np.random.PCG64(48))
 _FACTORS = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = _rng.integers(0, 2**64, 64, dtype=np.uint64)
@@ -74,8 +76,10 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     A list of n near copies isn't expanded into n^2 pairs. First every class
     meets the most central class of its lists. Then, in lists which still hold
     more than one component, the members outside the largest one meet those of
-    other components. So each candidate pair is either within one component or
-    compared: no link between components is lost.
+    other components, by an exact prefix merge over the shingles that leaves
+    out what the largest one has in common. So each candidate pair is either
+    within one component or compared or too far apart for its prefixes: no
+    link between components is lost.
 
     A null, empty or wordless text has no shingles, no links and its own id as
     component. Ids are compared as they are: rows that share an id are
@@ -112,19 +116,18 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     met = met.groupBy("a", "b").count().groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links = scratch.save(confirm(met))
 
-    # Lists with more than one component: those outside the largest meet the others.
-    for _ in range(1):
+    def rooted_by(links: DataFrame) -> DataFrame:
         roots = connected_components(links, scratch)
-        rooted = postings.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-        rooted = scratch.save(rooted)
-        sizes = rooted.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-        sizes = sizes.where("roots > 1").select("token", F.col("main.root").alias("main"))
-        split = rooted.join(sizes, "token")
-        outer = split.where("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        other = split.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("inner"))
-        rest = outer.join(other, "token").where((F.col("root_a") != F.col("root_b")) & (F.col("inner") | (F.col("a") < F.col("b"))) & fits)
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = scratch.save(links.union(confirm(rest)))
+        return scratch.save(postings.join(roots, "node", "left").select("token", "node", "n", "score", F.coalesce("root", "node").alias("root")))
+
+    # In lists with more than one component, those outside the largest meet its most central class, which may be new to them.
+    rooted = rooted_by(links)
+    hubs = rooted.groupBy(F.col("root").alias("main")).agg(F.max(F.struct("score", "node", "n")).alias("hub")).select("main", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"))
+    met = _members(rooted).where("root <> main").select(F.col("node").alias("a"), F.col("n").alias("n_a"), "main").join(hubs, "main")
+    links = scratch.save(links.union(confirm(met.where(fits).select("a", "b").distinct())))
+
+    # Then those which are still outside meet the others.
+    links = scratch.save(links.union(confirm(_across(rooted_by(links), sets, percent).where(fits).select("a", "b").distinct())))
 
     roots = connected_components(links, scratch)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
@@ -149,6 +152,42 @@ def _postings(classes: DataFrame) -> DataFrame:
     return ordered.select("node", "n", score.alias("score"), F.explode(prefix).alias("x")).select(F.col("x.token").alias("token"), "node", "n", "score")
 
 
+def _members(rooted: DataFrame) -> DataFrame:
+    """(main, node, n, root): the classes of lists with several components, under the list's largest."""
+    per = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("count"))
+    per = per.groupBy("token").agg(F.max(F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    per = per.where("roots > 1").select("token", F.col("main.root").alias("main"))
+    return rooted.join(per, "token").select("main", "node", "n", "root").distinct()
+
+
+def _across(rooted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, n_a, b, n_b) that can be links between components which still share a list.
+
+    Again a prefix and skip merge, now exact, over the shingles. Around each
+    largest component, shingles that many of its lists' members hold come last
+    in everyone's order, so a member meets others only in what sets it apart,
+    and a group's size doesn't count. Two sets that overlap enough must meet
+    within their prefixes; where they meet bounds what they can share.
+    """
+    members = _members(rooted)
+    size = members.groupBy("main").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("members"))
+    held = members.join(sets, "node").select("main", F.explode("set").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("count"))
+    # At most 1 / COMMON_SHARE times the mean set size of shingles for each component.
+    common = held.join(size, "main").where(F.col("count") >= F.greatest(F.lit(3), F.col("members") * COMMON_SHARE)).groupBy("main").agg(F.collect_list("shingle").alias("common"))
+    members = members.join(size, "main").join(common, "main", "left").join(sets, "node")
+    enough = f"ceil({percent}L * (n + greatest(ceil(n * {percent}L / 100D), least)) / {100 + percent}D)"
+    known = F.coalesce("common", F.array().cast("array<bigint>"))
+    ordered = F.concat(F.array_sort(F.array_except("set", known)), F.array_sort(F.array_intersect("set", known)))
+    members = members.select("main", "node", "n", "root", F.slice(ordered, 1, F.expr(f"CAST(greatest(n - {enough} + 1, 1) AS INT)")).alias("prefix"))
+    posted = members.select("main", "node", "n", "root", F.posexplode("prefix").alias("at", "shingle"))
+    outer = posted.where("root <> main").select("main", "shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("at").alias("at_a"))
+    other = posted.select("main", "shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("at").alias("at_b"))
+    share = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    can = share * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
+    return outer.join(other, ["main", "shingle"]).where(apart & can).select("a", "n_a", "b", "n_b")
+
+
 def _sets_of(rows: DataFrame, signed: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, set) of whole shingle sets, made anew from the texts of these classes alone."""
     wanted = signed.join(nodes, F.col("row") == F.col("node")).select("doc_id", "h1", "h2", "n", "node")
