@@ -18,6 +18,8 @@ from foliant.llm.scratch import Scratch
 COORDINATES, LEAST = 48, 20
 #: Shingles that this share of a component's neighbours holds (and three at least) come last in their order.
 COMMON_SHARE = 0.02
+#: Shingles that this share of them holds are the component's centre.
+CENTRE_SHARE = 0.5
 _rng = np.random.Generator(np.random.PCG64(48))
 _FACTORS = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = _rng.integers(0, 2**64, 64, dtype=np.uint64)
@@ -76,8 +78,8 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     A list of n near copies isn't expanded into n^2 pairs. First every class
     meets the most central class of its lists. Then, in lists which still hold
     more than one component, the members outside the largest one meet those of
-    other components, by an exact prefix merge over the shingles that leaves
-    out what the largest one has in common. So each candidate pair is either
+    other components, by an exact prefix merge over what sets each apart from
+    the group's common shingles, by having or by missing them. So each candidate pair is either
     within one component or compared or too far apart for its prefixes: no
     link between components is lost.
 
@@ -127,7 +129,7 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     links = scratch.save(links.union(confirm(met.where(fits).select("a", "b").distinct())))
 
     # Then those which are still outside meet the others.
-    links = scratch.save(links.union(confirm(_across(rooted_by(links), sets, percent).where(fits).select("a", "b").distinct())))
+    links = scratch.save(links.union(confirm(_across(rooted_by(links), sets, percent, scratch).where(fits).select("a", "b").distinct())))
 
     roots = connected_components(links, scratch)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
@@ -160,32 +162,50 @@ def _members(rooted: DataFrame) -> DataFrame:
     return rooted.join(per, "token").select("main", "node", "n", "root").distinct()
 
 
-def _across(rooted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(rooted: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, n_a, b, n_b) that can be links between components which still share a list.
 
-    Again a prefix and skip merge, now exact, over the shingles. Around each
-    largest component, shingles that many of its lists' members hold come last
-    in everyone's order, so a member meets others only in what sets it apart,
-    and a group's size doesn't count. Two sets that overlap enough must meet
-    within their prefixes; where they meet bounds what they can share.
+    Again a prefix and skip merge, now exact, over what sets each member apart.
+    Around each largest component, the shingles that half of its lists' members
+    hold are the centre; a member is written as its difference: shingles that
+    it has and the centre hasn't, and those that it misses. With m misses and
+    size n, its cost is (100 + percent) * m + percent * n. Two members link if
+    their differences share at least ceil(sum of costs / (100 + percent)) less
+    the centre's size. Where that is 0 or less they link for certain, and then
+    both link with the member of least cost, so each meets that one alone.
+    Otherwise they must meet in prefixes of their differences, which are short
+    and in which entries that many hold come last; where they meet bounds what
+    they can share. A group's size doesn't count.
     """
     members = _members(rooted)
     size = members.groupBy("main").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("members"))
     held = members.join(sets, "node").select("main", F.explode("set").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("count"))
     # At most 1 / COMMON_SHARE times the mean set size of shingles for each component.
-    common = held.join(size, "main").where(F.col("count") >= F.greatest(F.lit(3), F.col("members") * COMMON_SHARE)).groupBy("main").agg(F.collect_list("shingle").alias("common"))
-    members = members.join(size, "main").join(common, "main", "left").join(sets, "node")
-    enough = f"ceil({percent}L * (n + greatest(ceil(n * {percent}L / 100D), least)) / {100 + percent}D)"
-    known = F.coalesce("common", F.array().cast("array<bigint>"))
-    ordered = F.concat(F.array_sort(F.array_except("set", known)), F.array_sort(F.array_intersect("set", known)))
-    members = members.select("main", "node", "n", "root", F.slice(ordered, 1, F.expr(f"CAST(greatest(n - {enough} + 1, 1) AS INT)")).alias("prefix"))
-    posted = members.select("main", "node", "n", "root", F.posexplode("prefix").alias("at", "shingle"))
-    outer = posted.where("root <> main").select("main", "shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("at").alias("at_a"))
-    other = posted.select("main", "shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("at").alias("at_b"))
-    share = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    can = share * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    held = held.join(size, "main").where(F.col("count") >= F.greatest(F.lit(3), F.col("members") * COMMON_SHARE))
+    core, usual = F.col("count") >= F.col("members") * CENTRE_SHARE, F.col("count") <= F.col("members") * (1 - COMMON_SHARE)
+    known = held.groupBy("main").agg(F.collect_list(F.when(core, F.col("shingle"))).alias("centre"), F.collect_list(F.when(usual, F.col("shingle"))).alias("common"))
+    none = F.array().cast("array<bigint>")
+    members = members.join(size, "main").join(known, "main", "left").join(sets, "node")
+    members = members.withColumn("centre", F.coalesce("centre", none)).withColumn("common", F.coalesce("common", none))
+    members = members.withColumn("missed", F.array_except("centre", "set")).withColumn("apart", F.concat(F.array_except("set", "centre"), "missed"))
+    whole = 100 + percent
+    cost = (F.size("missed") * whole + F.col("n") * percent).alias("cost")
+    ordered = F.concat(F.array_sort(F.array_except("apart", "common")), F.array_sort(F.array_intersect("apart", "common")))
+    members = members.select("main", "node", "n", "root", "least", F.size("centre").alias("centre"), F.size("apart").alias("size"), cost, ordered.alias("ordered"))
+    enough = f"greatest(1L, ceil((cost + {percent}L * greatest(ceil(n * {percent}L / 100D), least)) / {whole}D) - centre)"
+    prefix = F.slice("ordered", 1, F.expr(f"CAST(greatest(size - {enough} + 1, 0) AS INT)"))
+    members = scratch.save(members.select("main", "node", "n", "root", "centre", "size", "cost", prefix.alias("prefix")))
+
+    pole = members.groupBy("main").agg(F.min(F.struct("cost", "node", "n", "root")).alias("pole"))
+    sure = (F.col("root") != F.col("pole.root")) & (F.col("cost") + F.col("pole.cost") <= F.col("centre") * whole)
+    certain = members.join(pole, "main").where(sure).select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pole.node").alias("b"), F.col("pole.n").alias("n_b"))
+
+    posted = members.select("main", "node", "n", "root", "centre", "size", "cost", F.posexplode("prefix").alias("at", "shingle")).withColumn("rest", F.col("size") - F.col("at"))
+    outer = posted.where("root <> main").select("main", "shingle", "centre", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("cost").alias("cost_a"), F.col("rest").alias("rest_a"))
+    other = posted.select("main", "shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("cost").alias("cost_b"), F.col("rest").alias("rest_b"))
+    can = (F.least("rest_a", "rest_b") + F.col("centre")) * whole >= F.col("cost_a") + F.col("cost_b")
     apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    return outer.join(other, ["main", "shingle"]).where(apart & can).select("a", "n_a", "b", "n_b")
+    return outer.join(other, ["main", "shingle"]).where(apart & can).select("a", "n_a", "b", "n_b").union(certain)
 
 
 def _sets_of(rows: DataFrame, signed: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
