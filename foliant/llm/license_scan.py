@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,6 @@ OTHERS = (
     "The general public was reserved about all of the rights", "A general licence to practise medicine in the state", "Free of charge for any person with a ticket", "This work is under way and the terms are known", "The commons were creative about attribution of the work",
     "The copyright debate went on for years", "Source and binary stars in the night sky", "The Mozilla browser is public and free", "Redistribution of wealth and use of land are debated", "The library is open to the general public", "The program was released in version 3", "International flights leave from terminal 4",
 )
-#: Every wording has one of these, so paragraphs without any can't be confirmed and aren't scored.
-GATE = r"(?i)licen[cs]|spdx|rights reserved|public domain|redistribut|permission is hereby|cc0|gnu|reproduced"
 #: Share of a template's word pairs that must stand in the paragraph.
 CONFIRMED = 0.75
 
@@ -54,6 +53,27 @@ def pairs(text: str) -> set[str]:
     return {g for g in grams(text) if " " in g} or grams(text)
 
 
+def gate_words() -> list[str]:
+    """Words of which every paragraph with CONFIRMED of a template's pairs has one: the pairs without them are too few."""
+    texts = [t for own in TEMPLATES.values() for t in own]
+    spread = Counter(w for t in [*texts, *OTHERS] for w in set(words(t)))
+    chosen: set[str] = set()
+    for text in texts:
+        without = pairs(text)
+        for word in sorted(set(words(text)), key=lambda w: (w not in chosen, spread[w], -len(w), w)):
+            if len(without) < CONFIRMED * len(pairs(text)):
+                break
+            rest = {g for g in without if word not in g.split(" ")}
+            if len(rest) < len(without):
+                chosen.add(word)
+                without = rest
+    return sorted(chosen)
+
+
+#: For lower-case text. Paragraphs without any of these words can't be confirmed and aren't scored.
+GATE = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in gate_words()) + r")(?![a-z0-9])"
+
+
 def _examples(seed: int) -> list[tuple[str, str]]:
     """Templates and other texts, each also with words dropped, and with words of others around them."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -131,7 +151,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes, vocabulary, weights, temperature = train()
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
     rows = rows.select(
-        "doc_id", F.size(F.filter("lines", lambda p: p.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_paragraphs"), F.filter("lines", lambda p: p.rlike(GATE)).alias("gated"), F.monotonically_increasing_id().alias("row")
+        "doc_id", F.size(F.filter("lines", lambda p: p.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_paragraphs"), F.filter("lines", lambda p: F.lower(p).rlike(GATE)).alias("gated"), F.monotonically_increasing_id().alias("row")
     )
     rows = scratch.save(rows)
 

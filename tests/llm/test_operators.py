@@ -310,6 +310,21 @@ def test_license_families(spark):
     assert {r.doc_id: r.families for r in got} == {i: f for i, (f, _) in enumerate(stated)}
 
 
+def test_license_gate_with_words_dropped(spark):
+    """No run of a template's words that holds CONFIRMED of its pairs misses the gate, nor does a text of just these pairs."""
+    rng = random.Random(4)
+    for text in (t for texts in license_scan.TEMPLATES.values() for t in texts):
+        w, stated = license_scan.words(text), sorted(license_scan.pairs(text))
+        runs = [" ".join(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)]
+        least = int(np.ceil(license_scan.CONFIRMED * len(stated)))
+        runs += [" / ".join(rng.sample(stated, least)) for _ in range(200)]
+        for run in runs:
+            if len(license_scan.pairs(run) & set(stated)) >= least:
+                assert re.search(license_scan.GATE, run), run
+    first = "This Source Code Form is subject to the terms of the Mozilla Public"
+    assert [r.families for r in license_scan.license_scan(spark.createDataFrame([(1, first)], "doc_id long, text string")).collect()] == ["mpl-2.0"]
+
+
 def test_quality_rules(docs):
     def plain(text):
         text = text or ""
