@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.scratch import Scratch
@@ -134,46 +134,65 @@ def _words(text: Column) -> Column:
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_paragraphs, n_license_paragraphs, families (sorted, comma-joined), probability (the least of the found ones; null without).
 
-    A paragraph is a line with a word. Those with a gate word go through a
-    softmax regression over word 1- and 2-grams, whose weights (some hundred
-    grams) are broadcast; the unknown class competes with the families. A
-    family counts if it is the most probable class and CONFIRMED of the word
-    pairs of one of its templates stand in the paragraph.
-
-    The texts are read once, and only gated paragraphs are shuffled. A null or
+    A paragraph is a line with a word; a notice may be wrapped over several.
+    Each line, and each run of lines up to a blank one with at most as many
+    words between its first and last line as the longest template has, goes
+    through a softmax regression over word 1- and 2-grams if it has a gate
+    word. The weights (some hundred grams) are broadcast; the unknown class
+    competes with the families. A family counts if it is the most probable
+    class and CONFIRMED of the word pairs of one of its templates stand in the
+    run. Of runs within each other the shortest counts, and those of a family
+    that overlap are one found paragraph.
+
+    The texts are read once; words of texts with a gate word are kept, and
+    only runs with one are shuffled. A null or
     empty text has no paragraphs. Rows are told apart by a row number, so null
     and repeated ids are fine. Equal probabilities go to the family first by
-    name. Columns that aren't named aren't read. Very long paragraphs are
-    scored whole. An empty table gives no rows.
+    name. Columns that aren't named aren't read. Very long lines are scored
+    whole. An empty table gives no rows.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "license")
     classes, vocabulary, weights, temperature = train()
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
-    rows = rows.select(
-        "doc_id", F.size(F.filter("lines", lambda p: p.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_paragraphs"), F.filter("lines", lambda p: F.lower(p).rlike(GATE)).alias("gated"), F.monotonically_increasing_id().alias("row")
-    )
+    solid = r"[^\x20\x09-\x0D]"
+    # The words of each line (null: a blank one) of texts with a gate word.
+    own = F.when(F.exists("lines", lambda p: F.lower(p).rlike(GATE)), F.transform("lines", lambda p: F.when(p.rlike(solid), _words(p))))
+    rows = rows.select("doc_id", F.size(F.filter("lines", lambda p: p.rlike(solid))).cast("long").alias("n_paragraphs"), own.alias("lines"), F.monotonically_increasing_id().alias("row"))
     rows = scratch.save(rows)
 
-    own = rows.select("row", F.posexplode("gated").alias("k", "text")).withColumn("words", _words(F.col("text")))
+    # Runs of neighbouring lines up to a blank one; each is scored if a line in it has a gate word.
+    span = max(len(words(t)) for texts in TEMPLATES.values() for t in texts)
+    gate = ", ".join(f"'{w}'" for w in gate_words())
+    ahead = rows.select("row", F.posexplode(F.expr(f"transform(lines, (l, i) -> slice(lines, i + 1, {span + 2}))")).alias("k", "ahead")).where("ahead[0] IS NOT NULL")
+    ahead = ahead.withColumn("ahead", F.expr("slice(ahead, 1, coalesce(nullif(array_position(transform(ahead, l -> l IS NULL), true), 0) - 1, size(ahead)))"))
+    ahead = ahead.where(f"exists(ahead, l -> arrays_overlap(l, array({gate})))")
+    runs = ahead.select("row", "k", F.posexplode(F.expr("transform(ahead, (l, i) -> slice(ahead, 1, i + 1))")).alias("more", "run"))
+    inner = "aggregate(slice(run, 2, greatest(more - 1, 0)), 0, (n, l) -> n + size(l))"
+    own = runs.where(f"{inner} <= {span}").select("row", "k", (F.col("k") + F.col("more")).alias("last"), F.flatten("run").alias("words")).where(f"arrays_overlap(words, array({gate}))")
     two = F.expr("CASE WHEN size(words) < 2 THEN array() ELSE transform(sequence(0, size(words) - 2), i -> concat_ws(' ', words[i], words[i + 1])) END")
-    own = own.select("row", "k", F.explode(F.array_distinct(F.concat("words", two))).alias("gram"))
+    own = own.select("row", "k", "last", F.explode(F.array_distinct(F.concat("words", two))).alias("gram"))
 
     scale = weights / temperature
     used = [i for i in range(len(vocabulary)) if scale[i].any()]
     table = spark.createDataFrame([(vocabulary[i], *scale[i].tolist()) for i in used], ", ".join(["gram string", *(f"w{j} double" for j in range(len(classes)))]))
-    scored = own.join(F.broadcast(table), "gram").groupBy("row", "k").agg(*[F.round(F.sum(f"w{j}") + scale[-1, j].item(), 9).alias(f"w{j}") for j in range(len(classes))])
+    scored = own.join(F.broadcast(table), "gram").groupBy("row", "k", "last").agg(*[F.round(F.sum(f"w{j}") + scale[-1, j].item(), 9).alias(f"w{j}") for j in range(len(classes))])
     top = F.greatest(*[f"w{j}" for j in range(len(classes))])
     total = sum((F.exp(F.col(f"w{j}") - top) for j in range(len(classes))), F.lit(0.0))
     best = F.coalesce(*[F.when(F.col(f"w{j}") == top, F.lit(c)) for j, c in enumerate(classes)])
-    scored = scored.select("row", "k", best.alias("family"), F.round(1 / total, 6).alias("probability")).where(F.col("family") != UNKNOWN)
+    scored = scored.select("row", "k", "last", best.alias("family"), F.round(1 / total, 6).alias("probability")).where(F.col("family") != UNKNOWN)
 
     stated = [(family, t, g, len(pairs(text))) for family, texts in TEMPLATES.items() for t, text in enumerate(texts) for g in sorted(pairs(text))]
     stated = spark.createDataFrame(stated, "family string, template int, gram string, size int")
-    matched = own.join(F.broadcast(stated), "gram").groupBy("row", "k", "family", "template", "size").agg(F.count(F.lit(1)).alias("n"))
-    matched = matched.where(F.col("n") >= CONFIRMED * F.col("size")).select("row", "k", "family").distinct()
-
-    found = scored.join(matched, ["row", "k", "family"]).groupBy("row")
-    found = found.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.min("probability").alias("probability"))
+    matched = own.join(F.broadcast(stated), "gram").groupBy("row", "k", "last", "family", "template", "size").agg(F.count(F.lit(1)).alias("n"))
+    matched = matched.where(F.col("n") >= CONFIRMED * F.col("size")).select("row", "k", "last", "family").distinct()
+
+    # A run counts if none inside it states its family; those that overlap are one notice.
+    found = scored.join(matched, ["row", "k", "last", "family"])
+    inside = Window.partitionBy("row", "family").orderBy(F.desc("k"), "last").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("least", F.min("last").over(inside)).where("least IS NULL OR least > last")
+    before = F.lag("last").over(Window.partitionBy("row", "family").orderBy("k"))
+    found = found.withColumn("starts", F.coalesce(F.col("k") > before, F.lit(True)).cast("long")).groupBy("row")
+    found = found.agg(F.sum("starts").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.min("probability").alias("probability"))
     out = rows.select("row", "doc_id", "n_paragraphs").join(found, "row", "left")
     return out.select("doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).cast("long").alias("n_license_paragraphs"), F.coalesce("families", F.lit("")).alias("families"), "probability")

@@ -325,6 +325,18 @@ def test_license_gate_with_words_dropped(spark):
     assert [r.families for r in license_scan.license_scan(spark.createDataFrame([(1, first)], "doc_id long, text string")).collect()] == ["mpl-2.0"]
 
 
+def test_license_notices_over_several_lines(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License."
+    prose_ = "Some words of no weight stand here\n"
+    texts = [
+        ("apache-2.0", 1, "Licensed under the Apache License,\nVersion 2.0"), ("gpl-3.0", 1, gpl), ("gpl-3.0", 1, "/*\n * " + gpl.replace("\n", "\n * ") + "\n */"), ("gpl-3.0", 1, prose_ * 3 + gpl + "\n" + prose_ * 3),
+        ("apache-2.0", 2, "Licensed under the Apache License, Version 2.0\nplain line\nLicensed under the\r\nApache License,\r\nVersion 2.0"), ("", 0, "Licensed under the Apache License,\n\nVersion 2.0"), ("mit", 2, "Licensed under the MIT license\nLicensed under the MIT license"),
+        ("apache-2.0,mit", 2, "Licensed under the MIT license\nLicensed under the Apache License, Version 2.0"), ("mit", 1, "\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this software".split())), ("", 0, prose_ + "2 by 3"),
+    ]
+    got = license_scan.license_scan(spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.families, r.n_license_paragraphs) for r in got} == {i: (f, n) for i, (f, n, _) in enumerate(texts)}
+
+
 def test_quality_rules(docs):
     def plain(text):
         text = text or ""
