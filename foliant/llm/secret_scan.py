@@ -40,27 +40,31 @@ _DIGIT[48:58] = True
 _NO_SPANS = hashlib.sha256(b"").hexdigest()
 
 
-def _long_runs(which: np.ndarray, least: int) -> np.ndarray:
-    """Where runs of this many bytes or more start."""
+def _long_runs(which: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of this many bytes or more start and end."""
     edges = np.flatnonzero(np.diff(which.view(np.int8), prepend=0, append=0))
-    return edges[0::2][edges[1::2] - edges[0::2] >= least]
+    long = edges[1::2] - edges[0::2] >= least
+    return edges[0::2][long], edges[1::2][long]
 
 
 def suspects(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Numbers of the texts in which a pattern can match at all; a run over text borders only adds one."""
+    """Numbers of the texts in which a pattern can match at all; a hit over text borders only adds some."""
     hits = [_long_runs(_HEX[buf], 24), _long_runs(_KEY[buf], 32)]
     if len(buf) > 2:
-        hits.append(np.flatnonzero((buf[1:-1] == 46) & _DIGIT[buf[:-2]] & _DIGIT[buf[2:]]) + 1)
+        dots = np.flatnonzero((buf[1:-1] == 46) & _DIGIT[buf[:-2]] & _DIGIT[buf[2:]])
+        hits.append((dots, dots + 3))
     low = buf.tobytes().lower()
     for word in _WORDS:
         at, found = low.find(word), []
         while at >= 0:
             found.append(at)
             at = low.find(word, at + 1)
-        hits.append(np.array(found, np.int64))
-    runs = np.unique(np.searchsorted(offsets, np.concatenate(hits), "right") - 1)
-    # A run that starts in one text may reach into those after it.
-    return np.unique(np.clip(np.concatenate([runs, runs + 1]), 0, len(offsets) - 2)) if len(runs) else runs
+        hits.append((np.array(found, np.int64), np.array(found, np.int64) + len(word)))
+    # Every text from the one in which a hit starts to the one in which it ends.
+    first = np.searchsorted(offsets, np.concatenate([s for s, _ in hits]), "right") - 1
+    last = np.searchsorted(offsets, np.concatenate([e for _, e in hits]) - 1, "right") - 1
+    n = len(offsets)
+    return np.flatnonzero(np.cumsum(np.bincount(first, minlength=n) - np.bincount(last + 1, minlength=n)) > 0)
 
 
 def find_spans(text: str) -> list[tuple[str, int, int]]:

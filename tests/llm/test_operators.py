@@ -370,6 +370,18 @@ def test_secret_scan(docs):
     assert next(r for r in got if r.doc_id == 15).spans.endswith("id:43:53")  # the user beside a secret
 
 
+def test_suspects_hold_every_text_with_a_span():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    some = ["the end", "", None, "0123456789abcdef01234567", "ab", "é", "password=hunter22", "AKIA" + "A1" * 8, "user: anna", "Ab1" * 12, "see 10.0.0.1", "http://a.example", "plain"]
+    batches = [["the end", "", "0123456789abcdef01234567"], ["bad", None, "", "c0de" * 6, "x"], [], ["", None]] + [rng.choices(some, k=rng.randint(1, 9)) for _ in range(400)]
+    for texts in batches:
+        buf, offsets = kernels.buffers(pa.array(texts, pa.string()))
+        found = set(secret_scan.suspects(buf, offsets).tolist())
+        assert found >= {i for i, t in enumerate(texts) if secret_scan.find_spans(t or "")} and found <= set(range(len(texts)))
+
+
 def test_weak_parts_need_counterparts(spark):
     far = "x " * 400
     texts = ["user: anna", f"user: anna {far} password=hunter22", "user: anna password=hunter22", "see https://a.example/x", 'token="abcdef1" at https://a.example/x']
