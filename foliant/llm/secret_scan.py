@@ -27,7 +27,7 @@ PATTERNS = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "hex": re.compile(r"[0-9a-f]+"),
     "id": re.compile(r"\b(?:user(?:name|_?id)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}", re.ASCII | re.IGNORECASE),
-    "key": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/_=-])"),
+    "key": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/_=-])"),
     "endpoint": re.compile(r"https?://[^\s\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])", re.ASCII),
 }
 _WORDS = (b"passw", b"secret", b"token", b"api_key", b"apikey", b"akia", b"http", b"user", b"login", b"account", b"client")

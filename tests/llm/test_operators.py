@@ -389,6 +389,17 @@ def test_weak_parts_need_counterparts(spark):
     assert {r.doc_id: r.n_linked for r in got} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 1}
 
 
+def test_keys_without_spaces_and_long_ones(spark):
+    access, key, long = "AKIA" + "A1B2C3D4E5F6G7H8", "Ab1/" * 10, "Ab1+" * 21 + "Ab=="
+    texts = [f"aws_access_key_id={access}\naws_secret_access_key={key}", f"aws_access_key_id = {access}\naws_secret_access_key = {key}", f"SECRET_KEY={key} {access}", f"https://a.example/x;AccountKey={long}", f"aws_secret_access_key={key}", f"password={key} {access}"]
+    got = {r.doc_id: r for r in secret_scan.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, k in enumerate([key, key, key, long]):
+        at = texts[i].index(k)
+        assert f"key:{at}:{at + len(k)}" in got[i].spans.split(",")
+    assert got[4].spans == "" and "key:" not in got[5].spans
+    assert secret_scan.find_spans("Ab1" * 300_000 + "_") == []  # in linear time
+
+
 def test_quality_classifier(spark, docs, labels):
     got = quality_classifier.quality_classifier(docs, labels).collect()
     assert len(got) == docs.count()
