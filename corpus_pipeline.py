@@ -26,9 +26,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id (ids are taken as unique here)."""
-    gone = near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each group of near duplicates, the rows with the smallest doc_id; a null id stays only in a group without another."""
+    # What near_dedup decides depends on a row's id and text alone, so these two name it where ids repeat or are null.
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    gone = near_dedup(docs.select("doc_id", "text", digest.alias("digest")), carry="digest").where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (digest == F.col("_digest")), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

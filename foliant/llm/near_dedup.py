@@ -40,7 +40,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(width: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, n, h1, h2 and the whole set of shingle hashes, or only its signature."""
+    """doc_id, n, h1, h2 and the whole set of shingle hashes, or only its signature; then any columns after the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,7 +55,9 @@ def _sets(width: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     n[i], h1[i], h2[i] = len(values), values.sum(), kernels.mix(values ^ np.uint64(0x5851F42D4C957F2D)).sum()
                     out[i] = values if whole else signature(values)
                 columns = [batch.column(0).slice(first, count), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), _lists(out)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "hashes"])
+                extra = batch.schema.names[2:]
+                columns += [batch.column(c).slice(first, count) for c in extra]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "hashes", *extra])
 
     return run
 
@@ -63,7 +65,7 @@ def _sets(width: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
 _SCHEMA = "doc_id long, n long, h1 long, h2 long, hashes array<long>"
 
 
-def near_dedup(df: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(df: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept (and n_links, the set's confirmed links).
 
     Documents with equal shingle sets form a class, found by a grouped 128-bit
@@ -86,13 +88,16 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     A null, empty or wordless text has no shingles, no links and its own id as
     component. Ids are compared as they are: rows that share an id are
     separate members; a component's id is its least id that isn't null, and
-    kept says that a row's id is the component's (null with null). Columns
-    that aren't named aren't read. An empty table gives no rows. Memory
+    kept says that a row's id is the component's (null with null). ``carry``
+    names a column of strings that is returned beside the rest. Columns that
+    aren't named aren't read. An empty table gives no rows. Memory
     follows a single text.
     """
     scratch = Scratch(df.sparkSession, "near")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = scratch.save(rows.mapInArrow(_sets(width, whole=False), _SCHEMA).withColumn("row", F.monotonically_increasing_id()))
+    extra = [F.col(carry).alias("carried")] if carry else []
+    whole_rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
+    signed = scratch.save(whole_rows.mapInArrow(_sets(width, whole=False), _SCHEMA + (", carried string" if carry else "")).withColumn("row", F.monotonically_increasing_id()))
     key = ["h1", "h2", "n"]
     classes = signed.where("n > 0").groupBy(*key).agg(F.min("row").alias("node"), F.min("doc_id").alias("least_doc"), F.first("hashes").alias("signature"))
     classes = scratch.save(classes)
@@ -136,10 +141,11 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     grouped = classes.select(*key, "node", "least_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left")
     least = grouped.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     grouped = scratch.save(grouped.join(least, "root").select(*key, "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    out = signed.select("doc_id", *key).join(grouped, key, "left")
+    out = signed.select("doc_id", *key, *(["carried"] if carry else [])).join(grouped, key, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        *([F.col("carried").alias(carry)] if carry else []),
     )
 
 

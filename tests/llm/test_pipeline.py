@@ -48,3 +48,13 @@ def test_mix_and_pack(stages):
     packed = stages[4][2].collect()
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in mixed)
     assert max(r.offset + r.length for r in packed) <= 4096
+
+
+def test_near_dedup_with_repeated_and_null_ids(spark):
+    words = [[f"{c}{i}" for i in range(80)] for c in "abc"]
+    copies = [" ".join([*w[:40], "changed", *w[41:]]) for w in words]
+    a, b, c = (" ".join(w) for w in words)
+    rows = [(1, a), (7, copies[0]), (7, b), (2, c), (None, copies[2]), (None, "without an id"), (None, None), (9, "")]
+    kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert kept.columns == ["doc_id", "text"]
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, a), (7, b), (2, c), (None, "without an id"), (None, None), (9, "")])
