@@ -19,7 +19,8 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(documents(spark, sf_dir))
-    return planned.select("doc_id", "size", "source_size", "target", "taken")
+    dealt = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["epoch"], d["shard"])), ",")
+    return planned.select("doc_id", "size", "source_size", "target", "taken", dealt.alias("epoch_shards"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,8 @@ g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM u),
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM h WHERE n > 1) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
-v AS (SELECT doc_id, line, regexp_matches(line, '[^ 	-]') AS solid, regexp_replace(line, '[^\p{{Lu}}#*$%&|<>»·•]+', '', 'g') AS m FROM l),
+v AS (SELECT doc_id, line, regexp_matches(line, '[^ 	-
+]') AS solid, regexp_replace(line, '[^\p{{Lu}}#*$%&|<>»·•]+', '', 'g') AS m FROM l),
 f AS (SELECT doc_id, line, solid, (length(m) > 0 AND ({_MARK.format('[^#*$%&|<>]+')} > {quality_rules.SYMBOL_SHARE} * length(line)
     OR ({_MARK.format('[^|>»·•]+')} >= {quality_rules.NAV_MARKS} AND length(line) <= {quality_rules.NAV_CHARS} * {_MARK.format('[^|>»·•]+')})
     OR ({_MARK.format('[#*$%&|<>»·•]+')} >= {quality_rules.SHOUT_CAPITALS} AND {_MARK.format('[#*$%&|<>»·•]+')} > {quality_rules.SHOUT_SHARE} * length(line))))

@@ -124,50 +124,100 @@ def test_components(spark):
     assert {x: roots.get(x, x) for x in parent} == parent
 
 
-def test_mixing(docs):
-    rows = [r for r in mixing.plan_mix(docs, shards=8, blocks=50).collect()]
-    again = [r for r in mixing.plan_mix(docs.repartition(5), shards=8, blocks=50).collect()]
+def plain_targets(sizes, weights, cap=3.0):
+    """Share, cap those above, share again."""
+    fixed = {}
+    while True:
+        left = sum(sizes.values()) - sum(fixed.values())
+        open_ = [s for s in sizes if s not in fixed]
+        target = {**fixed, **{s: left * weights[s] / sum(weights[x] for x in open_) for s in open_}}
+        above = {s: cap * sizes[s] for s in open_ if target[s] > cap * sizes[s] * (1 + 1e-12)}
+        if not above:
+            return {s: target[s] for s in sizes}
+        fixed |= above
+
+
+def test_source_targets():
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randint(1, 12)
+        sizes, weights = [rng.choice([0, 1, 5, rng.randint(1, 1000)]) for _ in range(n)], [rng.choice([5, 2, 1]) for _ in range(n)]
+        assert mixing.source_targets(sizes, weights) == pytest.approx(list(plain_targets(dict(enumerate(sizes)), weights).values()))
+    assert mixing.source_targets([], []) == []
+
+
+@pytest.mark.parametrize("cap, weights_", [(3.0, (5, 2, 1)), (50.0, (1, 200, 1))])
+def test_mixing(docs, cap, weights_):
+    """Blocks, stops, quotas and taken words, worked out again from the rows' places."""
+    rows = [r for r in mixing.plan_mix(docs, weights_, cap, shards=8, blocks=50).collect()]
+    again = [r for r in mixing.plan_mix(docs.repartition(5), weights_, cap, shards=8, blocks=50).collect()]
     assert sorted(map(str, rows)) == sorted(map(str, again))
     sizes = Counter()
     for r in docs.collect():
         sizes[r.source] += len(WORD.findall(r.text or ""))
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
-    target, fixed = {}, {}
-    while True:  # share, cap those above, share again
-        left = sum(sizes.values()) - sum(fixed.values())
-        open_ = [s for s in order if s not in fixed]
-        target = {**fixed, **{s: left * weights[s] / sum(weights[x] for x in open_) for s in open_}}
-        above = {s: 3.0 * sizes[s] for s in open_ if target[s] > 3 * sizes[s]}
-        if not above:
-            break
-        fixed |= above
-    largest = max(r.size for r in rows)
+    target = plain_targets({s: sizes[s] for s in order}, {s: weights_[i % 3] for i, s in enumerate(order)}, cap)
+    largest, shard_of = max(r.size for r in rows), {}
     for s in order:
         own = [r for r in rows if r.source == s]
+        blocks = max(1, round(50 * sizes[s] / sum(sizes.values())))
         assert own[0].source_size == sizes[s] and own[0].target == pytest.approx(target[s])
         assert abs(sum(r.taken for r in own) - target[s]) <= largest
-        assert all(r.taken <= 3 * r.size and r.taken == r.size * len(r.draws) for r in own)
-
-
-def test_splitting_tree_gives_exact_quotas():
-    quotas = np.array([1000, 10, 0, 333])
-    dealt = mixing.splitting_tree(quotas, 7, 5)
-    assert (dealt.sum(axis=0) == quotas).all() and (dealt >= 0).all() and np.ptp(dealt.sum(axis=1)) <= 3
-    assert (dealt == mixing.splitting_tree(quotas, 7, 5)).all()
+        full, rest = divmod(target[s], sizes[s]) if sizes[s] else (0, 0)
+        at, stop = 0, -1
+        for place, words in sorted(Counter({p: sum(r.size for r in own if r.place == p) for p in {r.place for r in own}}).items()):
+            if words and at + words / 2 <= rest:
+                stop = place
+            at += words
+        for r in own:
+            assert r.block == ((r.place >> 32) * blocks) >> 31
+            want = range(int(full) + (r.place <= stop)) if r.size else []
+            assert [d.epoch for d in r.draws] == list(want) and r.taken == r.size * len(r.draws)
+            for d in r.draws:  # a block goes to one shard in an epoch
+                assert shard_of.setdefault((s, r.block, d.epoch), d.shard) == d.shard
+    assert len(set(shard_of.values())) == 8
+    if cap > 3:
+        assert max(len(r.draws) for r in rows) > 8  # more epochs than any fixed list would hold
+
+
+def plain_tree(quotas, first, last, node, seed):
+    """The blocks of each shard by recursion."""
+    if last - first == 1:
+        return [quotas]
+    mid = (first + last) // 2
+    have = [i for i, q in enumerate(quotas) if q]
+    rng = np.random.Generator(np.random.PCG64([seed, node]))
+    drawn = rng.multivariate_hypergeometric([quotas[i] for i in have], sum(quotas) * (mid - first) // (last - first), method="marginals") if have else []
+    left = [0] * len(quotas)
+    for i, n in zip(have, drawn):
+        left[i] = int(n)
+    return plain_tree(left, first, mid, 2 * node, seed) + plain_tree([q - x for q, x in zip(quotas, left)], mid, last, 2 * node + 1, seed)
+
+
+def test_dealt_blocks(spark):
+    """Every quota is dealt exactly, each draw once, in the tree's counts, above and below the driver's nodes."""
+    import pandas as pd
+
+    plan = pd.DataFrame({"skey": [5, -7, 0, 9], "blocks": [400, 10, 3, 111], "quota": [1000, 10, 0, 333], "stop": [12, -1, -1, 5]})
+    for shards in (1, 7, 600):
+        dealt = mixing.dealt_blocks(spark, plan, shards, 5).collect()
+        for r in plan.itertuples():
+            own = [d for d in dealt if d.skey == r.skey]
+            assert sorted(d.epoch * r.blocks + d.block for d in own) == list(range(r.quota))
+            assert {d.epoch * r.blocks + d.block for d in own if d.stop < 2**62} == ({r.quota - 1} if r.stop >= 0 else set())
+        count = Counter((d.shard, d.skey) for d in dealt)
+        want = plain_tree(plan.quota.tolist(), 0, shards, 1, 5)
+        assert count == Counter({(k, s): n for k, own in enumerate(want) for s, n in zip(plan.skey.tolist(), own) if n})
+        assert np.ptp([sum(own) for own in want]) <= 11
 
 
 def test_mix_rows(docs):
-    planned = mixing.plan_mix(docs, shards=4, blocks=20).collect()
-    drawn = mixing.mix(docs, shards=4, blocks=20).collect()
-    assert Counter(r.doc_id for r in drawn) == Counter({k: n for k, n in _times(planned).items() if n})
-
-
-def _times(rows):
-    times = Counter()
-    for r in rows:
-        times[r.doc_id] += len(r.draws)
-    return times
+    for cap, weights in ((3.0, (5, 2, 1)), (50.0, (1, 200, 1))):
+        planned = mixing.plan_mix(docs, weights, cap, shards=4, blocks=20).collect()
+        drawn = mixing.mix(docs, weights, cap, shards=4, blocks=20).collect()
+        draws = Counter((r.doc_id, d.epoch, d.shard) for r in planned for d in r.draws)
+        assert Counter((r.doc_id, r.epoch, r.shard) for r in drawn) == draws
+        assert sum(len(WORD.findall(r.row.text)) for r in drawn) == sum(r.taken for r in planned)
 
 
 def tokenizer(name):
