@@ -1,6 +1,7 @@
 """Each operator against a plain version of its rules, on small rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -292,10 +293,23 @@ def test_exact_dedup(spark, docs):
         assert len(kept) == len(groups) and set(kept.values()) == {1}
 
 
-def test_exact_dedup_of_a_hot_text(spark):
-    rows = spark.range(2000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'hot', concat('t', id)) AS text")
-    got = exact_dedup.exact_dedup(rows, keep="largest").where("text_sha256 = sha2('hot', 256)").collect()
-    assert {(r.keep_id, r.group_size) for r in got} == {(1998, 667)} and sum(r.kept for r in got) == 1
+@pytest.mark.parametrize("keep, stays", [("largest", (1998, 1999)), ("smallest", (0, 1))])
+def test_exact_dedup_of_hot_texts(spark, keep, stays):
+    """Two groups are salted over many parts (67 and 27), and their parts' results merged."""
+    rows = spark.range(2000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 AND id % 2 = 1 THEN repeat('warm', 10) ELSE concat('t', id) END AS text")
+    got = exact_dedup.exact_dedup(rows, keep=keep, part_bytes=1000).collect()
+    groups = defaultdict(list)
+    for i in range(2000):
+        groups["hot" if i % 3 == 0 else "warm" * 10 if i % 3 == 1 and i % 2 == 1 else f"t{i}"].append(i)
+    pick = max if keep == "largest" else min
+    want = [(i, pick(own), len(own), i == pick(own), hashlib.sha256(t.encode()).hexdigest()) for t, own in groups.items() for i in own]
+    assert sorted(map(tuple, got)) == sorted(want) and {pick(groups["hot"]), pick(groups["warm" * 10])} == set(stays)
+
+
+def test_exact_dedup_of_texts_with_one_prefix(spark):
+    rows = [(i, "the same first characters " + "x" * (i % 7)) for i in range(100)] + [(None, "the same first characters ")] * 3
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got if r.kept) == list(range(7)) and Counter(r.group_size for r in got)[15 + 3] == 18
 
 
 def test_line_dedup(docs):
@@ -459,6 +473,78 @@ def test_quality_classifier(spark, docs, labels):
     assert all(r.kept and r.evidence == 0 for r in without)
 
 
+def plain_posterior(rows, keep_at=0.3):
+    """doc: (host rate, path rate, score, kept) from (doc, host, path, evidence), by loops over all rows."""
+    unit = quality_classifier.UNIT
+    us = [round(unit / (1 + math.exp(-e))) / unit for _, _, _, e in rows]
+    mean = sum(us) / len(us)
+
+    def prior(groups, centres):
+        spread = noise = 0.0
+        for g, own in groups.items():
+            r, n = sum(own) / len(own), len(own)
+            spread += n * (r - centres[g]) ** 2
+            noise += sum((u - r) ** 2 for u in own) / (n - 1) if n > 1 else (r - centres[g]) ** 2
+        variance = (spread - noise) / len(us)
+        low, high = quality_classifier.PRIOR_RANGE
+        return min(max(mean * (1 - mean) / variance - 1, low), high) if variance > 0 else high
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for (_, h, p, _), u in zip(rows, us):
+        hosts[h].append(u)
+        paths[h, p].append(u)
+    a = prior(hosts, dict.fromkeys(hosts, mean))
+    b = prior(paths, {(h, p): sum(hosts[h]) / len(hosts[h]) for h, p in paths})
+    out = []
+    for (doc, h, p, e), u in zip(rows, us):
+        host = (sum(hosts[h]) - u + a * mean) / (len(hosts[h]) - 1 + a)
+        path = (sum(paths[h, p]) - u + b * host) / (len(paths[h, p]) - 1 + b)
+        edge = min(max(path, quality_classifier.EDGE), 1 - quality_classifier.EDGE)
+        score = 1 / (1 + math.exp(-(e + math.log(edge / (1 - edge)) - math.log(mean / (1 - mean)))))
+        out.append((doc, host, path, score, score >= keep_at))
+    return out
+
+
+def test_posteriors(spark, docs, labels):
+    """The rates and scores of every row, worked out by loops, with null hosts, sparse sites and repeated rows."""
+    got = quality_classifier.quality_classifier(docs, labels).collect()
+    evidence = {(r.doc_id, r.evidence) for r in got}
+    site = {r.doc_id: (r.source, r.lang) for r in docs.collect() if r.doc_id is not None}
+    site_of_null = sorted(((r.source, r.lang) for r in docs.collect() if r.doc_id is None), key=str)
+    assert len(site_of_null) == 2
+    rows = [(r.doc_id, *site[r.doc_id], r.evidence) for r in got if r.doc_id is not None]
+    base = next(e for i, e in evidence if i == 5)  # a null id has the text of 5, the other has no site
+    rows += [(None, *(("s1", "en") if r.evidence == base else (None, None)), r.evidence) for r in got if r.doc_id is None]
+    want = plain_posterior(rows)
+    digits = [(r.doc_id, round(r.host_rate, 5), round(r.path_rate, 5), round(r.score, 5), r.kept) for r in got]
+    assert sorted(digits, key=key) == sorted(((d, round(h, 5), round(p, 5), round(s, 5), k) for d, h, p, s, k in want), key=key)
+
+
+def test_a_site_decides_on_a_borderline_document(spark):
+    """Texts of middling evidence go at a site of junk and stay at a clean one; a new site has the global rate."""
+    rng = random.Random(5)
+
+    def text(bangs):
+        w = prose(rng, 60).split()
+        for i in rng.sample(range(len(w)), bangs):
+            w[i] += "!!!"
+        return " ".join(w) + "."
+
+    rows = [(i, text(rng.randint(10, 24)), f"https://www.junk.example/a/{i}") for i in range(80)] + [(100 + i, text(rng.randint(0, 12)), f"http://clean.example/b/{i}") for i in range(80)]
+    middling = text(11)
+    rows += [(200, middling, "https://junk.example/a/x"), (201, middling, "http://clean.example/b/x"), (202, middling, "http://new.example/"), (203, middling, None)]
+    marks = [(i, 0) for i in range(0, 80)] + [(100 + i, 1) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, url string")
+    host, path = quality_classifier.site_columns("url")
+    sites = {r.doc_id: (r.h, r.p) for r in docs.select("doc_id", host.alias("h"), path.alias("p")).collect()}
+    assert (sites[0], sites[100], sites[202], sites[203]) == (("junk.example", "a"), ("clean.example", "b"), ("new.example", ""), (None, None))
+    got = {r.doc_id: r for r in quality_classifier.quality_classifier(docs, spark.createDataFrame(marks, "doc_id long, quality int"), host=host, path=path).collect()}
+    assert len({got[i].evidence for i in range(200, 204)}) == 1
+    assert not got[200].kept and got[201].kept and got[200].path_rate < got[202].path_rate < got[201].path_rate
+    want = {d: (round(s, 4), k) for d, _, _, s, k in plain_posterior([(i, *sites[i], got[i].evidence) for i in got])}
+    assert {i: (round(r.score, 4), r.kept) for i, r in got.items()} == want
+
+
 def test_classifier_on_held_out_labels(spark):
     """Four fifths of the labels fit it, the rest judge it."""
     from pyspark.sql import functions as F
