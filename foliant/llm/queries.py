@@ -97,11 +97,13 @@ g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM u),
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM h WHERE n > 1) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
-v AS (SELECT doc_id, line, regexp_matches(line, '[^ 	-
-]') AS solid, regexp_replace(line, '[^\p{{Lu}}#*$%&|<>»·•]+', '', 'g') AS m FROM l),
+v AS (SELECT doc_id, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS solid, regexp_replace(line, '[^\p{{Lu}}#*$%&|<>»·•{quality_rules.PUNCTUATION}]+', '', 'g') AS m,
+  regexp_matches(line, '[{quality_rules.SENTENCE_ENDS}](?:[{quality_rules.CLOSERS}]|\z)') AS sentence FROM l),
 f AS (SELECT doc_id, line, solid, (length(m) > 0 AND ({_MARK.format('[^#*$%&|<>]+')} > {quality_rules.SYMBOL_SHARE} * length(line)
     OR ({_MARK.format('[^|>»·•]+')} >= {quality_rules.NAV_MARKS} AND length(line) <= {quality_rules.NAV_CHARS} * {_MARK.format('[^|>»·•]+')})
-    OR ({_MARK.format('[#*$%&|<>»·•]+')} >= {quality_rules.SHOUT_CAPITALS} AND {_MARK.format('[#*$%&|<>»·•]+')} > {quality_rules.SHOUT_SHARE} * length(line))))
+    OR ({_MARK.format(r'[^\p{Lu}]+')} >= {quality_rules.SHOUT_CAPITALS} AND {_MARK.format(r'[^\p{Lu}]+')} >= {quality_rules.SHOUT_SHARE} * length(line))
+    OR ({_MARK.format(f'[^{quality_rules.PUNCTUATION}]+')} >= {quality_rules.PUNCTUATION_MARKS} AND {_MARK.format(f'[^{quality_rules.PUNCTUATION}]+')} >= {quality_rules.PUNCTUATION_SHARE} * length(line))))
+  OR (length(line) <= {quality_rules.FRAGMENT_CHARS} AND solid AND NOT sentence)
   OR (length(line) <= {quality_rules.BOILERPLATE_CHARS} AND regexp_matches(lower(line), '{"|".join(quality_rules.BOILERPLATE)}')) AS failed FROM v),
 d AS (SELECT doc_id, count(*) FILTER (solid) AS n_lines, count(DISTINCT line) FILTER (solid) AS n_distinct, count(*) FILTER (failed) AS n_failed_lines,
   coalesce(sum(length(line)) FILTER (failed), 0)::BIGINT AS lost_chars, sum(length(line)) AS line_chars FROM f GROUP BY doc_id),

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -417,6 +418,38 @@ def test_quality_rules(docs):
     assert not any(kept[i] for i in (20, 21, 22)) and kept[9] and kept[10]
 
 
+def plain_line_fails(line):
+    """The rules, by loops over characters."""
+    q = quality_rules
+    ends, closers, marks = (re.compile(f"[{c}]") for c in (q.SENTENCE_ENDS, q.CLOSERS, q.PUNCTUATION))
+    n = len(line)
+    bars, symbols, capitals = (sum(map(f, line)) for f in (lambda c: c in "|>»·•", lambda c: c in "#*$%&|<>", lambda c: unicodedata.category(c) == "Lu"))
+    punctuation = sum(bool(marks.match(c)) for c in line)
+    sentence = any(ends.match(c) and (i == n - 1 or closers.match(line[i + 1])) for i, c in enumerate(line))
+    return (
+        symbols > q.SYMBOL_SHARE * n or (bars >= q.NAV_MARKS and n <= q.NAV_CHARS * bars) or (capitals >= q.SHOUT_CAPITALS and capitals >= q.SHOUT_SHARE * n)
+        or (punctuation >= q.PUNCTUATION_MARKS and punctuation >= q.PUNCTUATION_SHARE * n) or (bool(WORD.search(line)) and n <= q.FRAGMENT_CHARS and not sentence)
+        or (n <= q.BOILERPLATE_CHARS and any(b in line.lower() for b in q.BOILERPLATE))
+    )
+
+
+def test_line_rules(spark):
+    """Every line's verdict and what the document loses, against loops."""
+    rng = random.Random(9)
+    sentence = "It is a line of prose that goes on for some time, and ends as prose does."
+    some = [sentence, "!!!! ???? ....", "Home", "About us", "Contact", "Ещё", "早く行きましょう。", "Wait...", 'He said "no."', "(It rained.)", "", "   ", "\r", "ends here.\r", "HEAD LINE IN CAPITALS", "a | b | c | d", "one > two > three > four", "Read more", "x" * 61, "x" * 60, "* item one", "50% off $$$ now", "- - - - -", "Überschrift", "What?", "note: this", "«Oui.»", "3.14", "e.g", "— — — —", "[1] [2] [3]"]
+    texts = [sentence, "\n".join(f"Our products no{i} item{i}" for i in range(40)), "\n".join([sentence.replace(" ", f" w{i} ") for i in range(9)] + ["Home", "!!!! ???? ...."])]
+    texts += ["\n".join(rng.choices(some, k=rng.randint(1, 12))) for _ in range(300)] + [x for x in some]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        failed = [x for x in lines if plain_line_fails(x)]
+        lost = sum(map(len, failed))
+        assert (got[i].n_failed_lines, got[i].lost_chars, got[i].clean_text) == (len(failed), lost, "\n".join(x for x in lines if not plain_line_fails(x))), text
+        assert got[i].kept == (not got[i].base_failed and lost <= quality_rules.LOST_SHARE * sum(map(len, lines)))
+    assert got[1].n_failed_lines == 40 and not got[1].kept and got[2].n_failed_lines == 2 and got[2].kept
+
+
 def test_secret_scan(docs):
     patterns = (("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6), ("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24))
 
