@@ -49,11 +49,11 @@ def exact_dedup(df: DataFrame, keep: str = "smallest", id_col: str = "doc_id", t
     hot = Scratch(df.sparkSession, "exact").save(sizes.orderBy(F.desc("salts"), "h").limit(MAX_HOT))
     some = not hot.isEmpty()
 
-    salted = work.withColumn("salt", F.lit(0).cast("long"))
-    if some:
-        salted = work.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "salts")).otherwise(0))
-    key = ["prefix", "h", "salt"]
-    ranged = salted.withColumn("prefix", F.left("text", F.lit(PREFIX))).repartitionByRange(*key)
+    keyed, key = work.withColumn("prefix", F.left("text", F.lit(PREFIX))), ["prefix", "h"]
+    if some:  # a constant salt would be folded out of the window's key, and the rows shuffled again for it
+        keyed = keyed.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "salts")).otherwise(0))
+        key += ["salt"]
+    ranged = keyed.repartitionByRange(*key)
     run = Window.partitionBy(*key, "text").orderBy(order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = ranged.select(
