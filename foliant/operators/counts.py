@@ -35,20 +35,27 @@ def count_phrase(text: Column, phrase: Column) -> Column:
 def annotate_counts(table: DataFrame, texts: DataFrame) -> DataFrame:
     """A table (doc_id, acronym, expansion, ...) with acronym_count and expansion_count from texts (doc_id, text).
 
-    A document's acronyms are counted in one scan with a longest-first
-    alternation, so one inside another at a mark gives way to the longer one.
-    Each distinct expansion is counted once, by itself.
+    A document's acronyms and expansions come to its text as two arrays, so
+    every text is joined once, whatever the table's rows. Its acronyms are
+    counted in one scan with a longest-first alternation, so one inside
+    another at a mark gives way to the longer one. Each distinct expansion is
+    counted once, by itself. A null or empty acronym or expansion counts 0.
     """
-    texts = texts.select("doc_id", "text")
-    keys = table.where("acronym <> ''").groupBy("doc_id").agg(F.collect_set("acronym").alias("a"))
+    norm = F.lower(F.regexp_replace(F.trim(F.coalesce("expansion", F.lit(""))), r"\s+", " "))
+    table = table.withColumn("_norm", norm)
+    wanted = table.groupBy("doc_id").agg(F.collect_set(F.when(F.col("acronym") != "", F.col("acronym"))).alias("a"), F.collect_set("_norm").alias("e"))
     longest = F.array_sort("a", lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
     pattern = F.concat(F.lit("(?<![A-Za-z0-9])("), F.array_join(F.transform(longest, _quoted), "|"), F.lit(")(?![A-Za-z0-9])"))
-    hits = texts.join(keys, "doc_id").select("doc_id", F.explode(F.regexp_extract_all("text", pattern, F.lit(1))).alias("acronym"))
-    hits = hits.groupBy("doc_id", "acronym").agg(F.count(F.lit(1)).alias("acronym_count"))
-    norm = F.lower(F.regexp_replace(F.trim(F.coalesce("expansion", F.lit(""))), r"\s+", " "))
-    uses = table.select("doc_id", norm.alias("_norm")).distinct().join(texts, "doc_id").select("doc_id", "_norm", count_phrase(F.col("text"), F.col("_norm")).alias("expansion_count"))
-    out = table.withColumn("_norm", norm).join(hits, ["doc_id", "acronym"], "left").join(uses, ["doc_id", "_norm"], "left").drop("_norm")
-    return out.withColumn("acronym_count", F.coalesce("acronym_count", F.lit(0))).withColumn("expansion_count", F.coalesce("expansion_count", F.lit(0)))
+    hits = F.when(F.size("a") > 0, F.regexp_extract_all("text", pattern, F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = texts.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", hits.alias("hits"), F.transform("e", lambda e: F.struct(e.alias("key"), count_phrase(F.col("text"), e).alias("n"))).alias("uses"))
+    both = F.concat(F.transform("hits", lambda h: F.struct(F.lit("a").alias("kind"), h.alias("key"), F.lit(1).cast("long").alias("n"))), F.transform("uses", lambda u: F.struct(F.lit("e").alias("kind"), u["key"], u["n"])))
+    counted = found.select("doc_id", F.explode(both).alias("x")).groupBy("doc_id", "x.kind", "x.key").agg(F.sum("x.n").alias("n"))
+
+    def of(kind: str, key: str, name: str) -> DataFrame:
+        return counted.where(F.col("kind") == kind).select("doc_id", F.col("key").alias(key), F.col("n").alias(name))
+
+    out = table.join(of("a", "acronym", "acronym_count"), ["doc_id", "acronym"], "left").join(of("e", "_norm", "expansion_count"), ["doc_id", "_norm"], "left").drop("_norm")
+    return out.fillna(0, ["acronym_count", "expansion_count"])
 
 
 def drop_phantoms(table: DataFrame) -> DataFrame:

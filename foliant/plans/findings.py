@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators import acronyms, glossary, orgs, pages, phrases, spelling
+from foliant.plans.tables import saved
 from foliant.sources.blocks import document_text
 
 NOTE = "Page checks cover explicit page markers, 'Page X of Y' footers, and cross-reference ranges; whether a target lands on its page needs a paginated rendering."
@@ -14,13 +15,15 @@ NOTE = "Page checks cover explicit page markers, 'Page X of Y' footers, and cros
 def gather(blocks: DataFrame, dictionary: DataFrame, house: list[tuple[str, str]] = (), tagged: DataFrame | None = None, extra: DataFrame | None = None, expected_customer: str | None = None, min_count: int = 3) -> dict[str, DataFrame]:
     """The passes' tables by name. Phrases are counted before the house list is merged, organisations before spelling is checked.
 
-    ``blocks`` is read by every pass, so give a table or a cached frame.
+    Blocks, phrases, definitions and organisations are read by several passes
+    and saved once; each other pass is a plan over these.
     """
-    found = phrases.recurring_phrases(blocks, min_count, locations=True)
+    blocks = saved(blocks)
+    found = saved(phrases.recurring_phrases(blocks, min_count, locations=True))
     own = glossary.glossary(blocks, tagged)
     terms = own.select("doc_id", "acronym", "expansion").unionByName(acronyms.house_merge(blocks, own, list(house)))
-    sets = acronyms.definition_sets(blocks, terms)
-    mentions = orgs.org_surfaces(blocks)
+    sets = saved(acronyms.definition_sets(blocks, terms))
+    mentions = saved(orgs.org_surfaces(blocks))
     allowed = [found.select("doc_id", F.col("phrase").alias("text")), sets.select("doc_id", F.col("expansion").alias("text")), mentions.select("doc_id", F.col("surface").alias("text"))]
     if expected_customer:
         allowed.append(blocks.select("doc_id").distinct().withColumn("text", F.lit(expected_customer)))
