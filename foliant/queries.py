@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ from foliant.operators import acronyms, counts, glossary, jobs, judgment, orgs,
 from foliant.plans import adapters as A
 from foliant.plans import findings as plans
 from foliant.plans import report
+from foliant.plans.tables import shared_folder
 from foliant.sources import markup, pdf
 from foliant.streaming import intake
 
@@ -381,32 +386,123 @@ def _word_geometry(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return words.unionByName(header), pages_
 
 
-@query()
+_PDF = _BLOCKS + """,
+pw AS (SELECT doc_id, 1 + (row // 1000) // 4 AS page_no, col, (100 + ((row // 1000) % 4) * 150 + (row % 1000) * 12)::DOUBLE AS base, w
+  FROM (SELECT doc_id, ord * 1000 + pos // 12 AS row, pos % 12 AS col, w FROM (SELECT doc_id, ord, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS pos FROM b))),
+pl AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY top) - 1)::INT AS line FROM (
+  SELECT doc_id, page_no::INT AS page_no, base AS top, 10.0::DOUBLE AS size, string_agg(w, ' ' ORDER BY col, base + col % 3, w) AS text FROM pw GROUP BY doc_id, page_no, base
+  UNION ALL SELECT DISTINCT doc_id, page_no::INT, 20.0, 8.0, 'Running Header' FROM pw)),
+pb AS (SELECT doc_id, list_sort(list(size))[count(*) // 2 + 1] AS body FROM pl GROUP BY doc_id)"""
+
+
+@query(f"WITH {_PDF} SELECT doc_id, page_no, line, text, size, top FROM pl")
 def pdf_lines(spark, sf_dir):
     return pdf.lines(_word_geometry(spark, sf_dir)[0])
 
 
-@query()
+@query(f"WITH {_PDF} SELECT doc_id, body FROM pb")
 def pdf_body_size(spark, sf_dir):
     return pdf.body_size(pdf.lines(_word_geometry(spark, sf_dir)[0]))
 
 
-@query()
+@query(
+    rf"""WITH {_PDF}, n AS (SELECT doc_id, count(DISTINCT page_no) AS n FROM pl GROUP BY doc_id HAVING count(DISTINCT page_no) >= 4)
+SELECT doc_id, lower(text) AS norm, count(DISTINCT page_no) AS n_pages FROM pl JOIN n USING (doc_id) WHERE (top <= 96 OR top >= 704) AND NOT regexp_matches(text, '(?i)\bPage\s+\d+\s+of\s+\d+\b')
+GROUP BY doc_id, lower(text), n HAVING count(DISTINCT page_no) >= greatest(4, floor(n * 0.6))"""
+)
 def pdf_boilerplate(spark, sf_dir):
     words, pages_ = _word_geometry(spark, sf_dir)
     return pdf.boilerplate(pdf.lines(words), pages_)
 
 
-@query()
+@query(
+    rf"""WITH {_PDF}, h AS (SELECT *, len(string_split(text, ' ')) <= 14 AND (size >= body * 1.15 OR (regexp_matches(text, '^\d+(?:\.\d+){{0,4}}\.?\s+\S') AND length(text) <= 90)
+    OR (upper(text) = text AND lower(text) <> text AND length(text) BETWEEN 2 AND 60)) AS head FROM pl JOIN pb USING (doc_id)),
+s AS (SELECT *, (head OR coalesce(top - lag(top) OVER w > body * 1.2 * 1.7, false) OR coalesce(lag(head) OVER w, false))::INT AS new FROM h WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_no ORDER BY line) AS island FROM s),
+p AS (SELECT doc_id, page_no, island, replace(regexp_replace(string_agg(text, chr(1) ORDER BY line), '-\x01(\p{{Ll}})', '\1', 'g'), chr(1), ' ') AS text, bool_or(head) AS head FROM i GROUP BY ALL)
+SELECT doc_id, page_no, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY island) - 1)::INT AS para, text, CASE WHEN lower(text) IN ('table of contents', 'contents') THEN 'toc' WHEN head THEN 'heading' ELSE 'body' END AS kind FROM p"""
+)
 def pdf_reflow(spark, sf_dir):
     rows = pdf.lines(_word_geometry(spark, sf_dir)[0])
     return pdf.reflow(rows, pdf.body_size(rows))
 
 
-@query()
+_XML_LINES = r"""l AS (SELECT doc_id, i, n, trim(regexp_replace(line, '\s+', ' ', 'g')) AS text FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, len(string_split(text, chr(10))) AS n FROM documents))"""
+
+
+@query(
+    f"""WITH {_XML_LINES}, r AS (SELECT doc_id, 0 AS i, 'Document ' || doc_id AS text, 'title' AS path, 'heading' AS kind, NULL AS page FROM documents
+  UNION ALL SELECT doc_id, i, text, CASE WHEN n > 1 THEN 'section/p[' || i || ']' ELSE 'section/p' END, 'body', NULL FROM l WHERE text <> ''
+  UNION ALL SELECT doc_id, 1000000, (doc_id % 90)::VARCHAR, 'section/pageno', 'page', (doc_id % 90)::VARCHAR FROM documents)
+SELECT doc_id || '.xml' AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord, text, path, kind, page FROM r"""
+)
 def xml_walk(spark, sf_dir):
-    files = A.table(spark, sf_dir, "pages").select(F.concat("page_id", F.lit(".xml")).alias("path"), F.col("html").cast("binary").alias("content"))
-    return markup.parse_files(files)[0]
+    """Documents as XML files, in turn in UTF-8, in UTF-16 and in ASCII with character references."""
+    d = A.table(spark, sf_dir, "documents").select("doc_id", "text")
+    body = F.concat(F.lit("<manual><title>Document "), "doc_id", F.lit("</title><section>"), F.array_join(F.transform(F.split(_escaped("text"), "\n"), lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), ""), F.lit("<pageno>"), F.col("doc_id") % 90, F.lit("</pageno></section></manual>"))
+    wide = F.encode(F.concat(F.lit('<?xml version="1.0" encoding="UTF-16"?>'), body), "UTF-16")
+    latin = F.encode(F.concat(F.lit('<?xml version="1.0" encoding="ISO-8859-1"?>'), body), "ISO-8859-1")
+    content = F.when(F.col("doc_id") % 3 == 0, body.cast("binary")).when((F.col("doc_id") % 3 == 1) | body.rlike(r"[^\x00-\xFF]"), wide).otherwise(latin)
+    return markup.parse_files(d.select(F.concat("doc_id", F.lit(".xml")).alias("path"), content.alias("content")))[0]
+
+
+def _escaped(column: str):
+    return F.replace(F.replace(F.replace(F.col(column), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _as_docx(frames):
+    """Files of doc_id and text in the docx format: a heading, a paragraph or a table row for each line, and a footer with a page total."""
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    run = "<w:r><w:t xml:space='preserve'>{}</w:t></w:r>".format
+    for frame in frames:
+        out = []
+        for doc, text in zip(frame["doc_id"], frame["text"]):
+            lines = [escape(line) for line in text.split("\n")]
+            head = f"<w:p><w:pPr><w:pStyle w:val='H1'/></w:pPr>{run(f'Document {doc}')}</w:p>"
+            body = "".join(f"<w:p>{run(x)}</w:p>" for x in lines[:-1])
+            last = f"<w:tbl><w:tr><w:tc><w:p>{run('Last')}</w:p></w:tc><w:tc><w:p>{run(lines[-1])}</w:p></w:tc></w:tr></w:tbl>"
+            parts = {
+                "word/document.xml": f"<w:document {space}><w:body>{head}{body}{last}<w:sectPr><w:footerReference w:type='default' r:id='f'/></w:sectPr></w:body></w:document>",
+                "word/styles.xml": f"<w:styles {space}><w:style w:styleId='H1'><w:name w:val='heading 1'/></w:style></w:styles>",
+                "word/footer1.xml": f"<w:ftr {space}><w:p>{run(f'Page 1 of {doc % 90 + 1}')}</w:p></w:ftr>",
+                "word/_rels/document.xml.rels": "<Relationships><Relationship Id='f' Type='http://x/footer' Target='footer1.xml'/></Relationships>",
+            }
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as archive:
+                for name, content in parts.items():
+                    archive.writestr(name, content)
+            out.append((f"{doc}.docx", held.getvalue()))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+@query(
+    f"""WITH {_XML_LINES}, r AS (SELECT doc_id, 0 AS i, 'Document ' || doc_id AS text, 'body/p[0]' AS path, 'heading' AS kind FROM documents
+  UNION ALL SELECT doc_id, i, text, 'body/p[' || i || ']', CASE WHEN lower(text) IN ('table of contents', 'contents') THEN 'toc' ELSE 'body' END FROM l WHERE text <> '' AND i < n
+  UNION ALL SELECT doc_id, i, 'Last' || CASE WHEN text <> '' THEN ' | ' || text ELSE '' END, 'body/tbl[' || i || ']/tr[0]', 'table' FROM l WHERE i = n
+  UNION ALL SELECT doc_id, 1000000, 'Page 1 of ' || (doc_id % 90 + 1), 'sections/pagination', 'page' FROM documents)
+SELECT doc_id || '.docx' AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord, text, path, kind FROM r"""
+)
+def docx_blocks(spark, sf_dir):
+    """Documents written as docx files and read again."""
+    files = A.table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(_as_docx, "path string, content binary")
+    return markup.parse_files(files)[0].drop("page")
+
+
+_SUFFIXES = (".xml", ".DOCX", ".pdf", ".txt", "")
+
+
+@query(
+    f"""SELECT p_partkey || s AS path, CASE WHEN lower(s) NOT IN ('.xml', '.docx', '.pdf') THEN 'unsupported file type' WHEN p_size % 7 = 0 THEN 'empty file' WHEN p_size % 11 = 0 THEN 'file too large' END AS reason
+FROM (SELECT *, [{_in(_SUFFIXES)}][p_partkey % 5 + 1] AS s FROM part)"""
+)
+def intake_checks(spark, sf_dir):
+    """Parts as files that come in, some of a kind or size that is refused."""
+    suffix = F.element_at(F.array(*[F.lit(s) for s in _SUFFIXES]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    size = F.when(F.col("p_size") % 7 == 0, 0).when(F.col("p_size") % 11 == 0, markup.MAX_UPLOAD + 1).otherwise(100).cast("long")
+    files = A.table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), suffix).alias("path"), size.alias("length"))
+    return intake.admissible(files).select("path", "reason")
 
 
 def _part_findings(spark, sf_dir):
@@ -415,33 +511,80 @@ def _part_findings(spark, sf_dir):
     return b, plans.gather(b, words, A.HOUSE)
 
 
-@query()
+# The same passes over the parts' definitions.
+_PART = (
+    _KEPT.replace(_BLOCKS, f"b AS (SELECT p_brand AS doc_id, p_partkey AS ord, 'The ' || {_LONG} || ' (' || {_SHORT} || CASE WHEN p_size % 2 = 0 THEN 'X' ELSE '' END || ') is listed.' AS text FROM part)")
+    + f""", {_DEFS},
+x AS (SELECT doc_id, acronym, list_sort(list(DISTINCT expansion)) AS expansions, count(*) AS uses FROM e GROUP BY doc_id, acronym),
+ex AS (SELECT doc_id, string_agg(acronym || '=' || array_to_string(expansions, '/'), '; ' ORDER BY acronym) AS existing, count(*) AS n_existing FROM x GROUP BY doc_id),
+iss AS (SELECT doc_id, 'conflicting_expansions' AS problem, acronym, array_to_string(expansions, '; ') AS detail FROM x WHERE len(expansions) > 1
+  UNION ALL SELECT doc_id, 'multiple_acronyms_one_term', string_agg(DISTINCT acronym, '/' ORDER BY acronym), lower(expansion) FROM e GROUP BY doc_id, lower(expansion) HAVING count(DISTINCT acronym) > 1),
+isj AS (SELECT doc_id, string_agg(problem || ' ' || acronym || ': ' || detail, ' & ' ORDER BY problem, acronym, detail) AS issues, count(*) AS n_issues FROM iss GROUP BY doc_id),
+ph AS (SELECT doc_id, string_agg(phrase || ' x' || n, ' & ' ORDER BY n DESC, length(phrase) DESC, first) AS phrases FROM v WHERE NOT dropped AND n >= 3 GROUP BY doc_id),
+dd AS (SELECT DISTINCT doc_id FROM e)"""
+)
+_FOUND = "recurring_phrases array<struct<phrase string, count long>>, acronym_issues array<struct<acronym string, problem string, detail string>>, existing_acronyms map<string, array<string>>"
+
+
+@query(f"WITH {_PART} SELECT doc_id, coalesce(existing, '') AS existing, coalesce(issues, '') AS issues, coalesce(phrases, '') AS phrases FROM dd LEFT JOIN ex USING (doc_id) LEFT JOIN isj USING (doc_id) LEFT JOIN ph USING (doc_id)")
 def findings(spark, sf_dir):
-    return report.findings_json(*_part_findings(spark, sf_dir))
+    """What the findings' JSON holds, read back from it."""
+    told = report.findings_json(*_part_findings(spark, sf_dir)).select("doc_id", F.from_json("json", _FOUND).alias("f")).select("doc_id", "f.*")
+    entries = F.array_sort(F.transform(F.map_entries("existing_acronyms"), lambda x: F.concat(x["key"], F.lit("="), F.array_join(x["value"], "/"))))
+    issues = F.transform("acronym_issues", lambda x: F.concat(x["problem"], F.lit(" "), x["acronym"], F.lit(": "), x["detail"]))
+    found = F.transform("recurring_phrases", lambda x: F.concat(x["phrase"], F.lit(" x"), x["count"]))
+    return told.select("doc_id", *[F.coalesce(F.array_join(c, sep), F.lit("")).alias(name) for c, sep, name in ((entries, "; ", "existing"), (issues, " & ", "issues"), (found, " & ", "phrases"))])
+
+
+_REPORT = (
+    f"WITH {_PART}"
+    + f""", u AS (SELECT x.doc_id, x.acronym, expansions, uses, (SELECT count(*) FROM e WHERE e.doc_id = x.doc_id AND lower(e.expansion) = lower(x.expansions[1])) AS spelt FROM x),
+tb AS (SELECT doc_id, string_agg('| ' || concat_ws(' | ', acronym, expansions[1], 'existing', uses, spelt, CASE WHEN len(expansions) > 1 THEN 'also: ' || array_to_string(expansions[2:], '; ') ELSE '' END) || ' |', chr(10) ORDER BY acronym) AS rows_ FROM u GROUP BY doc_id),
+il AS (SELECT doc_id, string_agg('- `' || acronym || '` — ' || problem || ': ' || detail, chr(10) ORDER BY upper(acronym), problem, acronym, detail) AS lines FROM iss GROUP BY doc_id)
+SELECT doc_id, replace('# Proofreading report@@{report.SKIPPED}@@## Acronym table  _(deterministic; uses are exact counts from the document)_@@', '@', chr(10)) || replace('{report.TABLE_HEAD}', '\\n', chr(10)) || rows_ || repeat(chr(10), 2)
+  || coalesce(replace('## Acronym issues@@', '@', chr(10)) || lines || repeat(chr(10), 2), '') || '> {plans.NOTE.replace("'", "''")}' || replace('@@## Customer name@@@@## Analysis provenance@@- Model pass skipped.@', '@', chr(10)) AS report
+FROM tb LEFT JOIN il USING (doc_id)"""
+)
 
 
-@query()
+@query(_REPORT)
 def markdown_report(spark, sf_dir):
     return report.render(*_part_findings(spark, sf_dir))
 
 
-@query()
-def judgments(spark, sf_dir):
-    """Findings judged by a stand-in that answers without a network."""
-    answer = json.dumps({"acronym_table": [], "acronym_issues": [], "misspellings": [], "customer": {"primary": ""}})
+def _stand_in():
+    """A model without a network: it answers from the payload; by the number of acronyms, its first answer is whole, cut off, unreadable or of the wrong shape."""
+
+    def call(messages, tokens):
+        found = json.loads(messages[1]["content"].partition("Findings:\n")[2])
+        table = [{"acronym": a, "expansion": e[0], "status": "existing"} for a, e in sorted((found.get("existing_acronyms") or {}).items())]
+        whole = {"acronym_table": table, "acronym_issues": found.get("acronym_issues") or [], "misspellings": [], "customer": {"primary": "Acme"}}
+        first = len(messages) == 2 and tokens == judgment.MAX_TOKENS
+        fault = len(table) % 4 if first else 0
+        said = {0: json.dumps(whole), 1: json.dumps(whole)[:-9], 2: "I can't say.", 3: json.dumps({**whole, "customer": "Acme"})}[fault]
+        return said, "length" if fault == 1 else "stop", {"completion_tokens": 1}, "stand-in", "none"
+
+    return call
 
-    def transport():
-        return lambda messages, tokens: (answer, "stop", {"completion_tokens": 1}, "stand-in", "none")
 
-    judged = judgment.judge_documents(report.findings_json(*_part_findings(spark, sf_dir)), transport, "Judge.")
-    return judged.select("doc_id", F.get_json_object("judgment", "$._meta.model_reported").alias("model"), F.get_json_object("judgment", "$.customer.primary").alias("primary"))
+@query(
+    f"""WITH {_PART} SELECT doc_id, n_existing AS n_rows, coalesce(n_issues, 0) AS n_issues, ['', 'truncation', 'repair', 'validation'][n_existing % 4 + 1] AS second_try, CASE WHEN n_existing % 4 = 0 THEN 1 ELSE 2 END::BIGINT AS calls
+FROM ex LEFT JOIN isj USING (doc_id)"""
+)
+def judgments(spark, sf_dir):
+    """Findings judged by a stand-in, its faults mended by a second try."""
+    b, found = _part_findings(spark, sf_dir)
+    judged = judgment.judge_documents(plans.assemble(b, found), _stand_in, "Judge.")
+    j = F.from_json("judgment", "acronym_table array<struct<acronym string>>, acronym_issues array<struct<problem string>>, _meta struct<usage struct<completion_tokens long>, retries map<string, struct<recovered boolean>>>")
+    told = judged.select("doc_id", j.alias("j")).select("doc_id", "j.*")
+    mended = F.coalesce(F.array_join(F.transform(F.filter(F.map_entries("_meta.retries"), lambda x: x["value"]["recovered"]), lambda x: x["key"]), ","), F.lit(""))
+    return told.select("doc_id", F.size("acronym_table").cast("long").alias("n_rows"), F.size("acronym_issues").cast("long").alias("n_issues"), mended.alias("second_try"), F.col("_meta.usage.completion_tokens").alias("calls"))
 
 
 @query(ORACLES["recurring_phrases"])
 def stream_intake(spark, sf_dir):
     """The same phrases from a file stream of documents, run until nothing is left."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/foliant"
-    base = f"{where}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = A.table(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
     intake.phrase_stream(stream, f"{base}/out", f"{base}/state").awaitTermination()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import acronyms, counts, glossary, jobs, judgment, orgs, pages, phrases, spelling
+from foliant.operators import acronyms, counts, glossary, jobs, judgment, orgs, pages, phrases, spelling, transports
 from foliant.plans import findings as plans
 from foliant.plans import report
 from foliant.sources import blocks as B
@@ -185,6 +185,22 @@ def test_files_that_fail_are_rejected(spark):
     assert {r.doc_id for r in bad.collect()} == {"b.docx", "c.txt", "d.xml"}
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16", "utf-16-le", "ISO-8859-1", "windows-1252"])
+def test_xml_encodings(encoding):
+    """Declared encodings and byte order marks are heeded, in whole and in broken markup, and names keep their case."""
+    head = f'<?xml version="1.0" encoding="{encoding}"?><!DOCTYPE Doc [<!ELEMENT Doc ANY>]>'
+    whole = f"{head}<Doc><SecA><p>Café Unit</p><p>zwei</p></SecA></Doc>"
+    for text in (whole, whole.replace("<p>zwei</p>", "<p>zwei")):
+        assert [b[:2] for b in markup.parse_xml(text.encode(encoding)).blocks] == [("Café Unit", "SecA/p[1]"), ("zwei", "SecA/p[2]")]
+    assert [b[0] for b in markup.parse_xml(b"<d><p>a &amp; b &#233;</p></d>").blocks] == ["a & b é"]
+
+
+def test_entities_are_not_read():
+    bomb = b'<!DOCTYPE d [<!ENTITY a "aaaa"><!ENTITY b "&a;&a;"><!ENTITY x SYSTEM "file:///etc/hostname">]><d><p>one &b; &x;</p></d>'
+    text = " ".join(b[0] for b in markup.parse_xml(bomb).blocks)
+    assert text.startswith("one") and "aaaa" not in text
+
+
 def test_xml_glossary_and_mixed_content():
     parsed = markup.parse_xml(b"<doc>lead <b>bold</b><para>one <unknown>two</unknown></para>tail<glossentry><glossterm>RCM</glossterm><glossdef>Reliability</glossdef></glossentry></doc>")
     assert [b[0] for b in parsed.blocks][:3] == ["lead bold", "one two", "tail"] and parsed.glossary == [("RCM", "Reliability")]
@@ -236,22 +252,107 @@ def test_judgment():
     good = json.dumps(GOOD)
     bad = json.dumps({**GOOD, "acronym_table": [{"acronym": "CA", "expansion": "", "status": "bogus"}]})
     t = transport((f"<think></think>```{good}```", "stop"))
-    assert judgment.judge({}, t, "s")["customer"]["primary"] == "Acme" and len(t.asked) == 1
+    assert judgment.judge("{}", t, "s")["customer"]["primary"] == "Acme" and len(t.asked) == 1
     t = transport((good[:40], "length"), (good, "stop"))
-    assert judgment.judge({}, t, "s", max_tokens=100)["_meta"]["retries"]["truncation"]["recovered"] and t.asked[1][1] == 200
+    assert judgment.judge("{}", t, "s", max_tokens=100)["_meta"]["retries"]["truncation"]["recovered"] and t.asked[1][1] == 200
+    t = transport(("no JSON", "stop"), (good, "stop"))
+    assert judgment.judge("{}", t, "s", context="c" * 9000)["_meta"]["retries"]["repair"]["recovered"] and len(t.asked[1][0]) == 4
     t = transport((bad, "stop"), (bad, "stop"))
-    kept = judgment.judge({}, t, "s")
+    kept = judgment.judge("{}", t, "s")
     assert kept["acronym_table"][0]["status"] == "bogus" and kept["_meta"]["usage"]["completion_tokens"] == 10
-    assert "_parse_error" in judgment.parse_answer("[1]") and judgment.shape_errors([]) and not judgment.shape_errors(GOOD)
-
-
-def test_payload_fits_the_budget():
-    big = {"recurring_phrases": [{"phrase": f"Phrase {i}", "count": i, "locations": ["x" * 50] * 40} for i in range(300)], "existing_acronyms": {"CA": ["Corrective Action"]}, "_doc_text": "secret"}
-    text, told = judgment.shrink(big)
-    sent = json.loads(text)
-    assert len(text) <= judgment.BUDGET and sent["existing_acronyms"] == big["existing_acronyms"] and "_doc_text" not in sent and told["original_chars"] > len(text)
-    text, _ = judgment.shrink(big, 3000)
-    assert len(json.loads(text)["recurring_phrases"]) < 300 and json.loads(text)["recurring_phrases"][0]["count"] == 299
+    t = transport((bad, "stop"), (good, "stop"))
+    assert judgment.judge("{}", t, "s")["_meta"]["retries"]["validation"]["recovered"]
+    assert "_parse_error" in judgment.judge("{}", transport(("[1]", "stop")), "s", retry=False)
+    cut = judgment.judge("{}", transport((good[:40], "length"), (good[:50], "length")), "s")
+    assert "cut off" in cut["_parse_error"] and "recovered" not in cut["_meta"]["retries"]["truncation"]
+
+
+def test_shapes():
+    assert judgment.shape_errors(GOOD) == [] and len(judgment.shape_errors([])) == 1
+    assert len(judgment.shape_errors({})) == 4
+    rows = [{"acronym": " ", "expansion": None, "status": "maybe"}, 5] * 9
+    assert len(judgment.shape_errors({**GOOD, "acronym_table": rows})) == judgment.MAX_ERRORS
+    assert judgment.shape_errors({**GOOD, "customer": {}}) == [] and judgment.shape_errors({**GOOD, "customer": {"primary": ""}}) == [] and judgment.shape_errors({**GOOD, "customer": {"primary": 3}})
+
+
+def test_payloads_fit_the_budget(spark):
+    schema = "doc_id string, recurring_phrases array<struct<phrase: string, count: long, locations: array<string>>>, spelling_candidates array<struct<word: string, context: string>>, existing_acronyms map<string, array<string>>, _text string"
+    phrases_ = [(f"Phrase {i}", i, ["x" * 50] * 40) for i in range(300)]
+    rows = [("big", phrases_, [("w", "c" * 200)] * 20, {"CA": ["Corrective Action"]}, "secret"), ("small", phrases_[:1], None, None, None), ("none", None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    for budget, steps, n in ((10**6, None, 300), (60_000, ["places"], 300), (14_000, ["places", "contexts"], 300), (5_000, None, 60), (10, None, 10)):
+        got = {r.doc_id: r for r in judgment.payloads(df, budget).collect()}
+        sent = json.loads(got["big"].payload)
+        assert (len(got["big"].payload) <= budget or n == 10) and len(sent["recurring_phrases"]) == n and sent["existing_acronyms"] == {"CA": ["Corrective Action"]} and "_text" not in sent
+        told = json.loads(got["big"].cut) if got["big"].cut else None
+        assert (told is None) == (budget == 10**6) and (steps is None or told["steps"] == steps)
+        if n < 300:
+            assert sent["recurring_phrases"][0]["count"] == 299 and told["original_chars"] > told["sent_chars"] == len(got["big"].payload)
+        assert got["none"].payload == "{}"
+
+
+def test_transports():
+    """A local server in place of a model: both addresses, the fallback and the probe."""
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    asked = []
+
+    class Server(BaseHTTPRequestHandler):
+        def answer(self, code, body):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            self.answer(200, {"data": [{"id": "m1"}]})
+
+        def do_POST(self):
+            asked.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            if self.path == "/api/chat":
+                native = {"message": {"content": "{}"}, "done_reason": "stop", "prompt_eval_count": 7, "eval_count": 2, "model": "m1"}
+                self.answer(*((200, native) if asked[-1][1]["model"] == "m1" else (500, {})))
+            else:
+                self.answer(200, {"choices": [{"message": {"content": "pong"}, "finish_reason": "stop"}], "usage": {"total_tokens": 3}, "model": "m2"})
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/v1"
+    try:
+        say = [{"role": "user", "content": "x" * 60_000}]
+        assert transports.native(base, "m1")(say, 100) == ("{}", "stop", {"prompt_tokens": 7, "completion_tokens": 2, "total_tokens": 9}, "m1", base[:-3] + "/api/chat")
+        assert asked[-1][1]["options"]["num_ctx"] == 20_000 + 100 + 1024 and asked[-1][1]["think"] is False
+        call = transports.with_fallback(transports.native(base, "other"), transports.compatible(base, "other"))
+        assert call(say, 5)[0] == "pong" and call(say, 5)[3] == "m2" and [p for p, _ in asked[1:]] == ["/api/chat", "/v1/chat/completions", "/v1/chat/completions"]
+        seen = transports.probe(base, "m1")
+        assert seen["reachable"] and seen["models_available"] == ["m1"] and seen["chat_ok"] and seen["sample_reply"] == "pong"
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert transports.probe(base, "m1", timeout=1)["reachable"] is False
+
+
+def test_report_with_judgments(spark):
+    """One document of each kind: judged, judged after a repair, failed, unreadable, and without a judgment."""
+    rows = [(d, "The Corrective Action (CA) is done. CA again. A corrective action too.") for d in ("good", "mended", "failed", "unread", "none", "empty")]
+    b = B.blocks_from_text(spark.createDataFrame(rows, "doc_id string, text string"), "doc_id", "text")
+    found = plans.gather(b, spark.createDataFrame([("action", 9)], "word string, freq long"))
+    meta = {"model_reported": "m|1", "usage": {"completion_tokens": 7}, "latency_ms": 5}
+    told = {**GOOD, "acronym_table": [*GOOD["acronym_table"], {"acronym": "ZZ", "expansion": "Zig Zag", "status": "proposed"}], "acronym_issues": [{"acronym": "CA", "problem": "odd", "note": "see"}], "misspellings": [{"word": "teh", "suggestion": "the"}], "_meta": meta}
+    answers = {"good": told, "mended": {**told, "customer": {"primary": "B", "normalize": ["x", "y"], "suspected_wrong": ["z"]}, "_meta": {**meta, "retries": {"repair": {"recovered": True}}, "findings_shrunk": {"original_chars": 9, "sent_chars": 5, "steps": ["places"]}}}, "failed": {"_error": "OSError: gone"}, "unread": {"_parse_error": "x", "_meta": meta}, "empty": {**GOOD, "acronym_table": [], "_meta": meta}}
+    judged = spark.createDataFrame([(k, json.dumps(v)) for k, v in answers.items()], "doc_id string, judgment string")
+    got = {r.doc_id: r.report for r in report.render(b, found, judged).collect()}
+    assert "_Generated by model `m|1`, 7 completion tokens, 5 ms._" in got["good"] and "(generated by m|1; uses are exact" in got["good"]
+    assert "| CA | Corrective Action | existing | 2 | 2 |  |" in got["good"] and "ZZ" not in got["good"]  # a proposed row that the text doesn't bear out
+    assert "- `CA` — odd: see" in got["good"] and "- **teh** → the  __" in got["good"] and "- Primary: **Acme**" in got["good"]
+    assert "repaired by one more call" in got["mended"] and "cut from 9 to 5" in got["mended"] and "- Normalize variants: x, y" in got["mended"] and "leftover: z" in got["mended"]
+    assert "_Model pass FAILED (OSError: gone)." in got["failed"] and report.UNAVAILABLE in got["failed"]
+    assert "**responded**" in got["unread"] and "(model `m|1`, 7 completion tokens, 5 ms)" in got["unread"] and report.SKIPPED in got["none"] and report.EMPTY_TABLE in got["empty"]
+    for name in ("failed", "unread", "none", "empty"):
+        assert "| CA | Corrective Action | existing | 2 | 2 |  |" in got[name]
 
 
 def test_entry(spark):
