@@ -20,6 +20,8 @@ COORDINATES, LEAST = 48, 20
 COMMON_SHARE = 0.02
 #: Shingles that this share of them holds are the component's centre.
 CENTRE_SHARE = 0.5
+#: Tables of components up to this many bytes, as measured, are broadcast; larger ones meet their members over SALTS parts.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
 _rng = np.random.Generator(np.random.PCG64(48))
 _FACTORS = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = _rng.integers(0, 2**64, 64, dtype=np.uint64)
@@ -78,12 +80,20 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     more confirmed on whole sets, and links joined into components.
 
     A list of n near copies isn't expanded into n^2 pairs. First every class
-    meets the most central class of its lists. Then, in lists which still hold
-    more than one component, the members outside the largest one meet those of
-    other components, by an exact prefix merge over what sets each apart from
-    the group's common shingles, by having or by missing them. So each candidate pair is either
-    within one component or compared or too far apart for its prefixes: no
-    link between components is lost.
+    meets the class of its lists with which it collides most. Then, in lists
+    which still hold more than one component, the members outside the largest
+    one meet those of other components. Here the method is departed from:
+    between components it isn't collisions of coordinates that are counted,
+    as near copies of one text collide in nearly all of them, but the same
+    prefix and skip merge runs, now exact, over what sets each member apart
+    from its group's common shingles, by having or by missing them. So each
+    candidate pair is either within one component or compared or too far apart
+    for its prefixes: no link between components is lost. Sets are sets of
+    64-bit hashes of shingles, and links are confirmed on these.
+
+    A component may hold a third of all classes: nothing is joined by
+    component alone. What is known of one goes to its members by broadcast if
+    it is measured small for all components, else over SALTS parts.
 
     A null, empty or wordless text has no shingles, no links and its own id as
     component. Ids are compared as they are: rows that share an id are
@@ -130,7 +140,7 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     # In lists with more than one component, those outside the largest meet its most central class, which may be new to them.
     rooted = rooted_by(links)
     hubs = rooted.groupBy(F.col("root").alias("main")).agg(F.max(F.struct("score", "node", "n")).alias("hub")).select("main", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"))
-    met = _members(rooted).where("root <> main").select(F.col("node").alias("a"), F.col("n").alias("n_a"), "main").join(hubs, "main")
+    met = _to_members(_members(rooted).where("root <> main").select(F.col("node").alias("a"), F.col("n").alias("n_a"), "main"), hubs, "a", scratch)
     links = scratch.save(links.union(confirm(met.where(fits).select("a", "b").distinct())))
 
     # Then those which are still outside meet the others.
@@ -141,6 +151,7 @@ def near_dedup(df: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     grouped = classes.select(*key, "node", "least_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left")
     least = grouped.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     grouped = scratch.save(grouped.join(least, "root").select(*key, "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    scratch.keep_only(signed, grouped)
     out = signed.select("doc_id", *key, *(["carried"] if carry else [])).join(grouped, key, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
@@ -168,6 +179,16 @@ def _members(rooted: DataFrame) -> DataFrame:
     return rooted.join(per, "token").select("main", "node", "n", "root").distinct()
 
 
+def _to_members(members: DataFrame, known: DataFrame, node: str, scratch: Scratch, lists: tuple[str, ...] = ()) -> DataFrame:
+    """Members (main, ...) with the row of ``known`` (main, ...) of their component; ``lists`` name its array columns of numbers."""
+    known = scratch.save(known)
+    longs = sum((F.size(c) for c in lists), F.lit(len(known.columns) + 4))
+    if (known.agg(F.sum(longs)).first()[0] or 0) * 8 <= BROADCAST_BYTES:
+        return members.join(F.broadcast(known), "main")
+    parts = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("_salt", F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int")).join(parts, ["main", "_salt"]).drop("_salt")
+
+
 def _across(rooted: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, n_a, b, n_b) that can be links between components which still share a list.
 
@@ -183,16 +204,16 @@ def _across(rooted: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     and in which entries that many hold come last; where they meet bounds what
     they can share. A group's size doesn't count.
     """
-    members = _members(rooted)
+    members = scratch.save(_members(rooted))
     size = members.groupBy("main").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("members"))
     held = members.join(sets, "node").select("main", F.explode("set").alias("shingle")).groupBy("main", "shingle").agg(F.count(F.lit(1)).alias("count"))
     # At most 1 / COMMON_SHARE times the mean set size of shingles for each component.
-    held = held.join(size, "main").where(F.col("count") >= F.greatest(F.lit(3), F.col("members") * COMMON_SHARE))
+    held = _to_members(held, size, "shingle", scratch).where(F.col("count") >= F.greatest(F.lit(3), F.col("members") * COMMON_SHARE))
     core, usual = F.col("count") >= F.col("members") * CENTRE_SHARE, F.col("count") <= F.col("members") * (1 - COMMON_SHARE)
     known = held.groupBy("main").agg(F.collect_list(F.when(core, F.col("shingle"))).alias("centre"), F.collect_list(F.when(usual, F.col("shingle"))).alias("common"))
     none = F.array().cast("array<bigint>")
-    members = members.join(size, "main").join(known, "main", "left").join(sets, "node")
-    members = members.withColumn("centre", F.coalesce("centre", none)).withColumn("common", F.coalesce("common", none))
+    known = size.join(known, "main", "left").select("main", "least", F.coalesce("centre", none).alias("centre"), F.coalesce("common", none).alias("common"))
+    members = _to_members(members, known, "node", scratch, ("centre", "common")).join(sets, "node")
     members = members.withColumn("missed", F.array_except("centre", "set")).withColumn("apart", F.concat(F.array_except("set", "centre"), "missed"))
     whole = 100 + percent
     cost = (F.size("missed") * whole + F.col("n") * percent).alias("cost")
@@ -204,7 +225,7 @@ def _across(rooted: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
 
     pole = members.groupBy("main").agg(F.min(F.struct("cost", "node", "n", "root")).alias("pole"))
     sure = (F.col("root") != F.col("pole.root")) & (F.col("cost") + F.col("pole.cost") <= F.col("centre") * whole)
-    certain = members.join(pole, "main").where(sure).select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pole.node").alias("b"), F.col("pole.n").alias("n_b"))
+    certain = _to_members(members, pole, "node", scratch).where(sure).select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pole.node").alias("b"), F.col("pole.n").alias("n_b"))
 
     posted = members.select("main", "node", "n", "root", "centre", "size", "cost", F.posexplode("prefix").alias("at", "shingle")).withColumn("rest", F.col("size") - F.col("at"))
     outer = posted.where("root <> main").select("main", "shingle", "centre", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("cost").alias("cost_a"), F.col("rest").alias("rest_a"))

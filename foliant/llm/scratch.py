@@ -34,17 +34,29 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/foliant-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Frees all tables but these, which the result still reads; they stay until the folder is cleared."""
+        for table, path in self.tables:
+            if not any(table is t for t in tables):
+                self._delete(path)
+        self.tables = [(t, path) for t, path in self.tables if any(t is x for x in tables)]
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for table in tables:
-            parents = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
-            for parent in parents:
-                path = jvm.org.apache.hadoop.fs.Path(parent)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for table, path in self.tables:
+            if any(table is t for t in tables):
+                self._delete(path)
+        self.tables = [(t, path) for t, path in self.tables if not any(t is x for x in tables)]
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
