@@ -379,33 +379,71 @@ def test_planted_passages(spark):
     assert share[1] == 1 and share[8] > 0.4 and share[20] > 0.7
 
 
-def test_license_scan(docs):
-    assert all(re.search(license_scan.GATE, t) for texts in license_scan.TEMPLATES.values() for t in texts)
-    classes, vocabulary, weights, temperature = license_scan.train()
+def plain_license(text):
+    """(paragraphs, found notices, families, unknown notices) by loops over all runs of lines, with or without a gate word."""
+    L = license_scan
+    classes, vocabulary, weights, temperature = L.train()
     index = {g: i for i, g in enumerate(vocabulary)}
-
-    def plain(text):
-        found = []
-        for line in (text or "").split("\n"):
-            if not re.search(license_scan.GATE, line):
+    lines = (text or "").split("\n")
+    span = max(len(L.words(t)) for texts in L.TEMPLATES.values() for t in texts)
+    found = []
+    for k in range(len(lines)):
+        for last in range(k, min(len(lines), k + span + 2)):
+            run = lines[k : last + 1]
+            if not all(WORD.search(x) for x in run) or sum(len(L.words(x)) for x in run[1:-1]) > span:
                 continue
-            have = license_scan.grams(line)
-            z = weights[-1] / temperature + sum((weights[index[g]] / temperature for g in have if g in index), np.zeros(len(classes)))
-            family = classes[int(np.argmax(np.round(z, 9)))]
-            if any(len(have & license_scan.pairs(t)) >= license_scan.CONFIRMED * len(license_scan.pairs(t)) for t in license_scan.TEMPLATES.get(family, [])):
-                found.append(family)
-        return ",".join(sorted(set(found))), len(found)
-
+            have = L.grams(" ".join(run))
+            if not have & set(index):
+                continue
+            z = np.round((weights[-1] + sum(weights[index[g]] for g in have if g in index)) / temperature, 9)
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            for c, prob in zip(classes, p):
+                best = c == classes[int(np.argmax(z))]
+                stated = [{cue} for cue in L.CUES] if c == L.UNKNOWN else [L.pairs(t) for t in L.TEMPLATES.get(c, [])]
+                if (best or (c not in (L.UNKNOWN, L.NONE) and round(prob, 6) >= L.ALONGSIDE)) and any(len(have & t) >= L.CONFIRMED * len(t) for t in stated):
+                    found.append((c, k, last))
+    known = [(k, e) for c, k, e in found if c != L.UNKNOWN]
+    found = [(c, k, e) for c, k, e in found if c != L.UNKNOWN or not any(k <= b and e >= a for a, b in known)]
+    found = [(c, k, e) for c, k, e in found if not any(c == d and (k, e) != (a, b) and k <= a and b <= e for d, a, b in found)]
+    starts = Counter()
+    for c in {c for c, _, _ in found}:
+        own = sorted((k, e) for d, k, e in found if d == c)
+        starts[c == L.UNKNOWN] += sum(i == 0 or own[i][0] > own[i - 1][1] for i in range(len(own)))
+    paragraphs = sum(bool(WORD.search(x)) and (i == 0 or not WORD.search(lines[i - 1])) for i, x in enumerate(lines))
+    return paragraphs, starts[False], ",".join(sorted({c for c, _, _ in found} - {L.UNKNOWN})), starts[True]
+
+
+def license_rows(spark, texts):
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: (r.n_paragraphs, r.n_license_paragraphs, r.families, r.n_unknown_paragraphs) for r in got}
+
+
+def test_license_scan(spark, docs):
     got = license_scan.license_scan(docs).collect()
-    want = [(r.doc_id, *plain(r.text)) for r in docs.collect()]
-    assert sorted(((r.doc_id, r.families, r.n_license_paragraphs) for r in got), key=key) == sorted(want, key=key)
+    want = [(r.doc_id, *plain_license(r.text)) for r in docs.collect()]
+    assert sorted(((r.doc_id, r.n_paragraphs, r.n_license_paragraphs, r.families, r.n_unknown_paragraphs) for r in got), key=key) == sorted(want, key=key)
     assert any(r.families == "apache-2.0" for r in got)
+    rng = random.Random(17)
+    stated = [t for texts in license_scan.TEMPLATES.values() for t in texts] + list(license_scan.OTHERS) + [f.format(n) for n in license_scan.OTHER_NAMES[-5:] for f in license_scan.STATEMENTS] + ["", " ", "plain words"]
+    texts = ["\n".join(" ".join(w + rng.choice(["", "", "", "", "\n"]) for w in rng.choice(stated).split(" ")) for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    assert license_rows(spark, texts) == {i: plain_license(t) for i, t in enumerate(texts)}
 
 
 def test_license_families(spark):
-    stated = [(f, t + ".") for f, texts in license_scan.TEMPLATES.items() for t in texts] + [("", t) for t in license_scan.OTHERS]
-    got = license_scan.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(stated)], "doc_id long, text string")).collect()
-    assert {r.doc_id: r.families for r in got} == {i: f for i, (f, _) in enumerate(stated)}
+    stated = [(f, t + ".") for f, texts in license_scan.TEMPLATES.items() for t in texts if t != "MIT or Apache-2.0"] + [("", t) for t in license_scan.OTHERS]
+    got = license_rows(spark, [t for _, t in stated])
+    assert {i: r[2] for i, r in got.items()} == {i: f for i, (f, _) in enumerate(stated)} and not any(r[3] for r in got.values())
+
+
+def test_headed_dual_and_unknown_licences(spark):
+    """Headings, two licences at once, and licences of names that the fit hasn't seen; sentences without one aren't any."""
+    said = ["MIT License\n\nCopyright 2020 A. Person", "Dual licensed: MIT or Apache-2.0", "Apache License\nVersion 2.0, January 2004"]
+    assert [r[2] for _, r in sorted(license_rows(spark, said).items())] == ["mit", "apache-2.0,mit", "apache-2.0"]
+    held = [f.format(n) for n in license_scan.OTHER_NAMES[-license_scan.HELD_NAMES :] for f in license_scan.STATEMENTS[1:]] + ["Licensed under the Orchard Tool License, version 7", "Eclipse Public License 2.0"]
+    got = license_rows(spark, held)
+    assert all(r[2] == "" for r in got.values()) and sum(r[3] == 1 for r in got.values()) >= 0.8 * sum(any(c in held[i].lower() for c in license_scan.CUES) for i in got)
+    plain = [prose(random.Random(i), 40) + ". " + t for i, t in enumerate(license_scan.OTHERS)]
+    assert not any(r[1] or r[3] for r in license_rows(spark, plain).values())
 
 
 def test_license_gate_with_words_dropped(spark):
@@ -428,7 +466,7 @@ def test_license_notices_over_several_lines(spark):
     prose_ = "Some words of no weight stand here\n"
     texts = [
         ("apache-2.0", 1, "Licensed under the Apache License,\nVersion 2.0"), ("gpl-3.0", 1, gpl), ("gpl-3.0", 1, "/*\n * " + gpl.replace("\n", "\n * ") + "\n */"), ("gpl-3.0", 1, prose_ * 3 + gpl + "\n" + prose_ * 3),
-        ("apache-2.0", 2, "Licensed under the Apache License, Version 2.0\nplain line\nLicensed under the\r\nApache License,\r\nVersion 2.0"), ("", 0, "Licensed under the Apache License,\n\nVersion 2.0"), ("mit", 2, "Licensed under the MIT license\nLicensed under the MIT license"),
+        ("apache-2.0", 2, "Licensed under the Apache License, Version 2.0\nplain line\nLicensed under the\r\nApache License,\r\nVersion 2.0"), ("apache-2.0", 1, "Licensed under the Apache License,\n\nVersion 2.0"), ("", 0, "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy of this software"), ("mit", 2, "Licensed under the MIT license\nLicensed under the MIT license"),
         ("apache-2.0,mit", 2, "Licensed under the MIT license\nLicensed under the Apache License, Version 2.0"), ("mit", 1, "\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this software".split())), ("", 0, prose_ + "2 by 3"),
     ]
     got = license_scan.license_scan(spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(texts)], "doc_id long, text string")).collect()
