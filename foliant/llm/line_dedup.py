@@ -60,7 +60,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gone = scratch.save(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("k").alias("gone")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "gone"))
     scratch.keep_only(gone)
 
-    out = rows.withColumn("text_hash", F.md5("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    # Always by a merge, so that the plan is the same at every size.
+    out = rows.withColumn("text_hash", F.md5("text")).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     # Only texts that lose something are cut again.
     out = out.withColumn("chunks", F.when(F.col("gone").isNotNull(), _chunks("text")))
     removed = F.expr("filter(chunks, (c, k) -> array_contains(gone, k))")
