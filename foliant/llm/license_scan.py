@@ -66,6 +66,11 @@ def pairs(text: str) -> set[str]:
     return {g for g in grams(text) if " " in g} or grams(text)
 
 
+#: Words of any text, which the gate takes only where no other is left (fixed values).
+COMMON = frozenset(("a", "and", "any", "as", "by", "for", "in", "is", "it", "no", "of", "or", "the", "this", "to", "under", "with", "use", "work", "you"))
+
+
+@functools.lru_cache
 def gate_words() -> list[str]:
     """Words of which every paragraph with CONFIRMED of a template's pairs has one: the pairs without them are too few."""
     texts = [t for own in TEMPLATES.values() for t in own]
@@ -73,7 +78,7 @@ def gate_words() -> list[str]:
     chosen: set[str] = set()
     for text in texts:
         without = pairs(text)
-        for word in sorted(set(words(text)), key=lambda w: (w not in chosen, spread[w], -len(w), w)):
+        for word in sorted(set(words(text)), key=lambda w: (w not in chosen, w in COMMON, spread[w], -len(w), w)):
             if len(without) < CONFIRMED * len(pairs(text)):
                 break
             rest = {g for g in without if word not in g.split(" ")}
