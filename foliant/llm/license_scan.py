@@ -92,8 +92,8 @@ def cue_words() -> set[str]:
     return {w for cue in CUES for w in cue.split(" ")}
 
 
-#: For lower-case text. Paragraphs without any of these words can't be confirmed and aren't scored.
-GATE = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in gate_words()) + r")(?![a-z0-9])"
+#: For lower-case text. Paragraphs without any of these words can't be confirmed and aren't scored. The border and a first letter are looked for before the words, as most places have neither.
+GATE = r"(?:^|[^a-z0-9])(?=[" + "".join(sorted({w[0] for w in gate_words()})) + r"])(?:" + "|".join(re.escape(w) for w in gate_words()) + r")(?![a-z0-9])"
 
 
 def _examples(seed: int, names: tuple[str, ...]) -> list[tuple[str, str]]:
@@ -189,9 +189,9 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes, vocabulary, weights, temperature = train()
     text = F.coalesce(F.col(text_col), F.lit(""))
     solid = r"[^\x20\x09-\x0D]"
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.split(text, "\n").alias("lines"), F.split(text, r"\n(?:[\x20\x09\x0B-\x0D]*\n)+").alias("blocks"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.split(text, "\n").alias("lines"), F.lower(text).rlike(GATE).alias("gated"), F.split(text, r"\n(?:[\x20\x09\x0B-\x0D]*\n)+").alias("blocks"))
     # The words of each line (null: a blank one) of texts with a gate word.
-    own = F.when(F.exists("lines", lambda p: F.lower(p).rlike(GATE)), F.transform("lines", lambda p: F.when(p.rlike(solid), _words(p))))
+    own = F.when(F.col("gated"), F.transform("lines", lambda p: F.when(p.rlike(solid), _words(p))))
     rows = rows.select("doc_id", F.size(F.filter("blocks", lambda p: p.rlike(solid))).cast("long").alias("n_paragraphs"), own.alias("lines"), F.monotonically_increasing_id().alias("row"))
     rows = scratch.save(rows)
 
@@ -207,24 +207,37 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     two = F.expr("CASE WHEN size(words) < 2 THEN array() ELSE transform(sequence(0, size(words) - 2), i -> concat_ws(' ', words[i], words[i + 1])) END")
     own = own.select("row", "k", "last", F.explode(F.array_distinct(F.concat("words", two))).alias("gram"))
 
-    # One broadcast table says for each gram its weights, and of which templates (0: the cues) it is a pair.
+    # One broadcast table says for each gram its weights, and of which templates and cues it is a pair: each of them counts in bits of its own of the t columns.
     scale = weights / temperature
-    stated = [(family, g, t, len(pairs(text))) for family, texts in TEMPLATES.items() for t, text in enumerate(texts) for g in sorted(pairs(text))]
-    stated += [(UNKNOWN, cue, t, 1) for t, cue in enumerate(CUES)]
-    stated = spark.createDataFrame([(g, f, t, n) for f, g, t, n in stated], "gram string, family string, template int, size int")
-    used = [i for i in range(len(vocabulary)) if scale[i].any()]
-    table = spark.createDataFrame([(vocabulary[i], *scale[i].tolist()) for i in used], ", ".join(["gram string", *(f"w{j} double" for j in range(len(classes)))]))
-    scored = own.join(F.broadcast(table), "gram").groupBy("row", "k", "last").agg(*[F.round(F.sum(f"w{j}") + scale[-1, j].item(), 9).alias(f"w{j}") for j in range(len(classes))])
+    stated = [(family, pairs(text), len(pairs(text))) for family, texts in TEMPLATES.items() for text in texts] + [(UNKNOWN, {cue}, 1) for cue in CUES]
+    bits = max(n for _, _, n in stated).bit_length()
+    each_column = 62 // bits
+    places = [(i // each_column, i % each_column * bits) for i in range(len(stated))]
+    wide = places[-1][0] + 1
+
+    def packed(gram: str) -> list[int]:
+        sums = [0] * wide
+        for (column, shift), (_, own_pairs, _) in zip(places, stated):
+            sums[column] += (gram in own_pairs) << shift
+        return sums
+
+    index = {g: i for i, g in enumerate(vocabulary) if scale[i].any()}
+    table = [(g, *(scale[index[g]].tolist() if g in index else [0.0] * len(classes)), *packed(g)) for g in sorted(index.keys() | set().union(*(p for _, p, _ in stated)))]
+    table = spark.createDataFrame(table, ", ".join(["gram string", *(f"w{j} double" for j in range(len(classes))), *(f"t{j} long" for j in range(wide))]))
+    scored = own.join(F.broadcast(table), "gram").groupBy("row", "k", "last").agg(*[F.round(F.sum(f"w{j}") + scale[-1, j].item(), 9).alias(f"w{j}") for j in range(len(classes))], *[F.sum(f"t{j}").alias(f"t{j}") for j in range(wide)])
+
+    def matched(family: str) -> Column:
+        """Whether CONFIRMED of the pairs of one of the family's templates stand in the run; for UNKNOWN, whether a cue does."""
+        counts = [(F.shiftright(f"t{column}", shift).bitwiseAND((1 << bits) - 1), n) for (column, shift), (f, _, n) in zip(places, stated) if f == family]
+        return functools.reduce(Column.__or__, [count >= CONFIRMED * n for count, n in counts])
+
     top = F.greatest(*[f"w{j}" for j in range(len(classes))])
     total = sum((F.exp(F.col(f"w{j}") - top) for j in range(len(classes))), F.lit(0.0))
     first = F.coalesce(*[F.when(F.col(f"w{j}") == top, F.lit(c)) for j, c in enumerate(classes)])
-    each = F.array(*[F.struct(F.lit(c).alias("family"), F.round(F.exp(F.col(f"w{j}") - top) / total, 6).alias("probability")) for j, c in enumerate(classes) if c != NONE])
-    counts = lambda x: (x["family"] == first) | ((x["probability"] >= ALONGSIDE) & (x["family"] != UNKNOWN))
-    scored = scored.select("row", "k", "last", F.explode(F.filter(each, counts)).alias("c")).select("row", "k", "last", "c.*")
-
-    matched = own.join(F.broadcast(stated), "gram").groupBy("row", "k", "last", "family", "template", "size").agg(F.count(F.lit(1)).alias("n"))
-    matched = matched.where(F.col("n") >= CONFIRMED * F.col("size")).select("row", "k", "last", "family").distinct()
-    found = scratch.save(scored.join(matched, ["row", "k", "last", "family"]))
+    each = F.array(*[F.struct(F.lit(c).alias("family"), F.round(F.exp(F.col(f"w{j}") - top) / total, 6).alias("probability"), matched(c).alias("matched")) for j, c in enumerate(classes) if c != NONE])
+    counts = lambda x: x["matched"] & ((x["family"] == first) | ((x["probability"] >= ALONGSIDE) & (x["family"] != UNKNOWN)))
+    scored = scored.where(" OR ".join(f"t{j} != 0" for j in range(wide)))
+    found = scratch.save(scored.select("row", "k", "last", F.explode(F.filter(each, counts)).alias("c")).select("row", "k", "last", "c.family", "c.probability"))
 
     # Unknown licences stand where no family does; a run counts if none inside it states its family; those that overlap are one notice.
     known = found.where(F.col("family") != UNKNOWN).select("row", F.col("k").alias("from"), F.col("last").alias("to")).distinct()
