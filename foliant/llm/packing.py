@@ -16,6 +16,8 @@ from foliant.llm import kernels
 from foliant.llm.scratch import Scratch
 from foliant.llm.token_counts import vocabulary
 
+#: Members of the rounding family that lower_bound tries.
+ROUNDINGS = 32
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -100,7 +102,9 @@ def lower_bound(lengths: np.ndarray, window: int) -> int:
 
     For a threshold t up to half the window the function gives 1 to lengths
     over window - t, length / window to those from t on, and 0 below; its sum,
-    rounded up, bounds the bins from below.
+    rounded up, bounds the bins from below. A second family rounds: for k it
+    gives length / window where k + 1 of them fill whole windows, and else the
+    whole windows that k + 1 of them fill, over k.
     """
     if not len(lengths):
         return 0
@@ -110,7 +114,12 @@ def lower_bound(lengths: np.ndarray, window: int) -> int:
     mass = np.cumsum(count * np.arange(window + 1))
     large = number[window] - number[window - t]
     middle = mass[window - t] - np.where(t > 0, mass[np.maximum(t - 1, 0)], 0)
-    return int(np.max(large + -(-middle // window)))
+    sizes = np.arange(window + 1)
+    best = int(np.max(large + -(-middle // window)))
+    for k in range(1, ROUNDINGS + 1):
+        whole, rest = np.divmod((k + 1) * sizes, window)
+        best = max(best, -(-int(count @ np.where(rest == 0, k * sizes, window * whole)) // (k * window)))
+    return best
 
 
 def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,15 +154,22 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def _pack(window: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Packs a partition. One above its bound gives its bins with room free, unless this is the last round."""
+    """Packs a partition. One above its bound gives the looser half of its bins with room free, unless this is the last round."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         lengths = part["length"].to_numpy()
         place, offset, room = best_fit_decreasing(lengths, window)
+        if part["came"].notna().all():
+            _, held = np.unique(part["came"].to_numpy(), return_inverse=True)
+            if len(room) > held.max():
+                place, offset = held, part["offset"].to_numpy()
+                room = window - np.bincount(held, lengths).astype(np.int64)
         least = lower_bound(lengths, window)
-        loose = (room > 0)[place] if len(room) > least and not last else np.zeros(len(part), bool)
-        part = part.assign(bin=place, offset=offset, settled=~loose, bins=np.int64(len(room)), bound=np.int64(least))
-        return part
+        give = np.zeros(len(room), bool)
+        if len(room) > least and not last:
+            give[np.argsort(-room, kind="stable")[: -(-np.count_nonzero(room) // 2)]] = True
+        loose = give[place]
+        return part.assign(bin=place, offset=offset, settled=~loose, bins=np.int64(len(room)), bound=np.int64(least))
 
     return run
 
@@ -166,9 +182,11 @@ def pack(df: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 1, id_
     Pieces are dealt at random into partitions of about ``per_partition``;
     each packs its own by best-fit decreasing and compares its bins with a
     lower bound. A partition at its bound is settled for good. One above it
-    settles its full bins and gives the pieces of the others to an exchange:
-    they are dealt anew into fewer partitions and packed again, ``rounds``
-    times at most. A partition's memory follows per_partition.
+    gives the looser half of its bins with room free to an exchange and settles
+    the others: whole bins are dealt anew among fewer partitions and their
+    pieces packed again, ``rounds`` times at most. Where that takes as many bins as came or more, the bins stay
+    as they came, so an exchange never costs a bin. A partition alone has none
+    to exchange with. A partition's memory follows per_partition.
 
     A null or empty text is the end_id alone. Null ids stay null and repeated
     rows are packed each by itself; ties go by the order of arrival. Columns
@@ -177,23 +195,26 @@ def pack(df: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 1, id_
     scratch = Scratch(df.sparkSession, "pack")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cut = rows.mapInArrow(_pieces(tokenizer, window, end_id), PIECES).withColumn("row", F.monotonically_increasing_id())
-    open_rows = scratch.save(cut)
-    schema = f"{PIECES}, row long, part long, bin long, offset long, settled boolean, bins long, bound long"
+    # pandas holds whole numbers among nulls as doubles, so an id goes there as a number and a flag.
+    cut = cut.withColumn("known", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    open_rows = scratch.save(cut.withColumn("came", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long")))
+    schema = f"{PIECES}, row long, known boolean, came long, offset long, part long, bin long, settled boolean, bins long, bound long"
     settled = None
     for k in range(rounds):
         n = open_rows.count()
         if not n:
             break
         parts = max(1, math.ceil(n / per_partition))
-        last = k == rounds - 1 or (k > 0 and parts == 1)
-        dealt = open_rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit(k)), F.lit(parts)))
+        last = k == rounds - 1 or parts == 1
+        dealt = open_rows.withColumn("part", F.pmod(F.xxhash64(F.coalesce("came", "row"), F.lit(k)), F.lit(parts)))
         packed = scratch.save(dealt.groupBy("part").applyInPandas(_pack(window, last), schema))
         done = packed.where("settled").withColumn("sequence_id", F.lit(k) * F.lit(2**56) + F.col("part") * F.lit(2**28) + F.col("bin"))
-        done = done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.lit(k).alias("round"), "part", "bins", "bound")
+        done = done.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.lit(k).alias("round"), "part", "bins", "bound")
         settled = done if settled is None else settled.unionByName(done)
         if last:
             break
-        open_rows = packed.where(~F.col("settled")).select(*open_rows.columns)
+        came = F.col("part") * F.lit(2**28) + F.col("bin")
+        open_rows = packed.where(~F.col("settled")).withColumn("came", came).select(*open_rows.columns)
     if settled is None:
         empty = f"{PIECES}, sequence_id long, offset long, round int, part long, bins long, bound long"
         return df.sparkSession.createDataFrame([], empty)

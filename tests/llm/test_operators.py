@@ -271,6 +271,46 @@ def test_packing(docs):
     assert len(bins) <= 1.05 * packing.lower_bound(np.array([w[3] for w in want]), 512) + 1
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_exchange_saves_bins(spark, seed):
+    """Partitions miss their bounds, and the exchange takes fewer sequences than one round; null and very large ids stay as they are."""
+    rng = np.random.default_rng(seed)
+    rows = [(2**60 + k if k % 7 else None, " ".join(["the"] * int(n))) for k, n in enumerate(rng.integers(89, 259, 1200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    taken = {}
+    for rounds in (1, 3):
+        got = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), window=410, per_partition=60, rounds=rounds).collect()
+        assert sorted(((r.doc_id,) for r in got), key=key) == sorted(((r[0],) for r in rows), key=key)
+        bins = defaultdict(list)
+        for r in got:
+            bins[r.sequence_id].append((r.offset, r.length))
+        for own in bins.values():
+            end = 0
+            for offset, length in sorted(own):
+                assert offset == end
+                end += length
+            assert end <= 410
+        taken[rounds] = len(bins)
+    assert packing.lower_bound(np.array([r.length for r in got]), 410) <= taken[3] < taken[1]
+
+
+def test_lower_bound_against_all_packings():
+    def least(sizes, room=()):
+        if not sizes:
+            return len(room)
+        ways = [least(sizes[1:], (*room[:k], left - sizes[0], *room[k + 1 :])) for k, left in enumerate(room) if left >= sizes[0]]
+        return min([*ways, least(sizes[1:], (*room, 12 - sizes[0]))])
+
+    rng = np.random.default_rng(1)
+    tight = 0
+    for _ in range(150):
+        sizes = rng.integers(1, 13, rng.integers(1, 8))
+        bound, want = packing.lower_bound(sizes, 12), least(tuple(sizes.tolist()))
+        assert bound <= want
+        tight += bound == want
+    assert tight >= 130
+
+
 def test_lower_bound_and_best_fit():
     rng = np.random.default_rng(0)
     for _ in range(30):
