@@ -96,6 +96,17 @@ def test_manual_end_to_end(spark, manual):
     assert nested["total_pages"] == 12 and "texts" not in nested
 
 
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_report_plan_reads_each_pass_once(spark, manual):
+    """A plan that holds all passes fills the driver's memory, whatever the rows."""
+    found = plans.gather(manual, spark.createDataFrame([("plan", 9)], "word string, freq long"), [("RCM", "Reliability")], expected_customer="Acme")
+    assert {k: scans(t) for k, t in found.items() if k != "texts"} == {k: 1 for k in found if k != "texts"}
+    assert scans(report.render(manual, found)) <= 30
+
+
 def test_row_order_does_not_matter(spark, manual):
     a = phrases.recurring_phrases(manual, 2).collect()
     b = phrases.recurring_phrases(manual.repartition(7).orderBy(F.rand(1)), 2).collect()
