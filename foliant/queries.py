@@ -331,7 +331,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS k FROM
 @query(f"WITH {_BLOCKS}, {_SPELL} SELECT doc_id, raw AS word, suggestion FROM r WHERE k <= 200")
 def spelling_candidates(spark, sf_dir):
     b = A.document_blocks(spark, sf_dir)
-    return spelling.spelling_candidates(b, _dictionary(b)).select("doc_id", "word", "suggestion")
+    return spelling.spelling_words(b, _dictionary(b)).select("doc_id", "word", "suggestion")
 
 
 _JOBS = """j AS (SELECT o_orderkey AS job_id, o_custkey AS session, CASE o_orderstatus WHEN 'O' THEN 'awaiting_model' WHEN 'P' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'judging' ELSE 'queued' END

@@ -107,6 +107,27 @@ def test_report_plan_reads_each_pass_once(spark, manual):
     assert scans(report.render(manual, found)) <= 30
 
 
+def test_spelling_plan_carries_no_texts(spark):
+    from foliant.queries import spelling_candidates
+
+    assert "text#" not in spelling_candidates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spelling_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    """Known words met by a shuffle give the same rows; of blocks with the same place one counts."""
+    rows = [("d", 0, "The maintenence of a zorgon and pre-maintenence", "p0"), ("d", 1, "Maintenence zorgom extrra", "p1"), ("d", 1, "Maintenence zorgom extrra", "p2"), ("e", 0, "zorgom maintenance extrras", "p0")]
+    b = spark.createDataFrame([(*r, "body", None) for r in rows], BLOCKS)
+    dictionary = spark.createDataFrame([("the", 9), ("maintenance", 9)], "word string, freq long")
+    allowed, extra = spark.createDataFrame([("d", "zorgon")], "doc_id string, word string"), spark.createDataFrame([("extra",)], "word string")
+    seen = []
+    for most in (spelling.BROADCAST_WORDS, 0):
+        monkeypatch.setattr(spelling, "BROADCAST_WORDS", most)
+        seen.append([sorted(spelling.spelling_candidates(b, dictionary, *more).select("doc_id", "ord", "word", "suggestion", "path").collect()) for more in ((), (allowed, extra))])
+    assert seen[0] == seen[1]
+    assert seen[0][0] == [("d", 0, "maintenence", "maintenance", "p0")]
+    assert seen[0][1] == [("d", 0, "maintenence", "maintenance", "p0"), ("d", 1, "extrra", "extra", "p1"), ("d", 1, "zorgom", "zorgon", "p1")]
+
+
 def test_row_order_does_not_matter(spark, manual):
     a = phrases.recurring_phrases(manual, 2).collect()
     b = phrases.recurring_phrases(manual.repartition(7).orderBy(F.rand(1)), 2).collect()
