@@ -106,6 +106,7 @@ def test_report_plan_reads_each_pass_once(spark, manual):
     assert {k: scans(t) for k, t in found.items() if k != "texts"} == {k: 1 for k in found if k != "texts"}
     assert scans(report.render(manual, found)) <= 30
     assert scans(report.findings_json(manual, found)) <= 10
+    assert scans(judgment.judge_documents(plans.assemble(manual, found), lambda: None, "Judge.")) == 1
 
 
 def test_spelling_plan_carries_no_texts(spark):
