@@ -129,9 +129,12 @@ def parts(buf: np.ndarray, offsets: np.ndarray, block: int = 2 * BLOCK) -> Itera
         end = min(total, at + size)
         cuts = safe_cuts(buf[:end], at) if end - at > 2 or at else np.zeros(0, np.int64)
         own = heads[np.searchsorted(heads, at) : np.searchsorted(heads, end)]
-        starts = np.union1d(cuts[cuts > at], own)
-        if not len(starts) or starts[0] != at:
-            starts = np.concatenate([[at], starts])
+        # Places are marked and found in order; np.union1d hashes them, which took a third of a tokenizer's time.
+        marked = np.zeros(end - at, bool)
+        marked[0] = True
+        marked[cuts[cuts > at] - at] = True
+        marked[own - at] = True
+        starts = np.flatnonzero(marked) + at
         if end < total:
             if len(starts) == 1:
                 size *= 2
