@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels
-from foliant.llm.scratch import Scratch
+from foliant.llm.scratch import Scratch, release, small_batches
 from foliant.llm.token_counts import vocabulary
 
 #: Members of the rounding family that lower_bound tries.
@@ -57,6 +57,7 @@ class _Cutter:
 
 def _pieces(path: str, window: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         vocab = vocabulary(path, ids=True)
         for batch in batches:
             buf, offsets = kernels.buffers(batch.column(1))
@@ -90,9 +91,12 @@ def _pieces(path: str, window: int, end_id: int) -> Callable[[Iterator[pa.Record
                     cutter.put(np.array(vocab.whole([buf[offsets[text] : offsets[text + 1]].tobytes().decode("utf-8", "replace")])[0], np.uint32))
             move(batch.num_rows)
             text, piece, start, length, crc = cutter.take()
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(text)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
             )
+            del buf, offsets, cutter, move, batch
+            release()
+            yield out
 
     return cut
 
@@ -197,7 +201,8 @@ def pack(df: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 1, id_
     cut = rows.mapInArrow(_pieces(tokenizer, window, end_id), PIECES).withColumn("row", F.monotonically_increasing_id())
     # pandas holds whole numbers among nulls as doubles, so an id goes there as a number and a flag.
     cut = cut.withColumn("known", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    open_rows = scratch.save(cut.withColumn("came", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long")))
+    with small_batches(df.sparkSession):
+        open_rows = scratch.save(cut.withColumn("came", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long")))
     schema = f"{PIECES}, row long, known boolean, came long, offset long, part long, bin long, settled boolean, bins long, bound long"
     settled = None
     for k in range(rounds):

@@ -7,11 +7,18 @@ re-read carries exact sizes for the optimizer.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch where a worker keeps little beside it.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder; a temporary one only for local masters without a setting."""
@@ -27,6 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches hold BATCH_BYTES at most, or one row, in what runs within: 10,000 whole texts are held by the executor and by its worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release() -> None:
+    """Gives memory that a worker freed back to the system; workers are used again by later steps, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Tables of one operator run; ``drop`` frees those that later steps don't read."""
 

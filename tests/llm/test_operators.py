@@ -288,6 +288,28 @@ def test_packing(docs):
     assert len(bins) <= 1.05 * packing.lower_bound(np.array([w[3] for w in want]), 512) + 1
 
 
+def test_packing_holds_few_texts_at_a_time(spark, monkeypatch):
+    """A batch of 10,000 long texts is held by the executor and by its worker, beside all that earlier steps left there."""
+    real, most = packing._pieces, 8 << 20
+
+    def watched(*args):
+        cut = real(*args)
+
+        def small(batches):
+            for batch in batches:
+                if batch.nbytes > most:
+                    raise AssertionError(f"a batch of {batch.nbytes} bytes")
+                yield batch
+
+        return lambda batches: cut(small(batches))
+
+    monkeypatch.setattr(packing, "_pieces", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "repeat('a b ', 500) AS text")
+    assert packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).where("length = 1001").count() == 6000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_exchange_saves_bins(spark, seed):
     """Partitions miss their bounds, and the exchange takes fewer sequences than one round; null and very large ids stay as they are."""
