@@ -1,9 +1,13 @@
 """The passes against hand-made cases and plain versions of their rules."""
 
+import gc
 import io
 import json
 import random
+import re
+import time
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +16,7 @@ from foliant.functions import text as T
 from foliant.operators import acronyms, counts, glossary, jobs, judgment, orgs, pages, phrases, spelling, transports
 from foliant.plans import findings as plans
 from foliant.plans import report
+from foliant.plans.tables import saved
 from foliant.sources import blocks as B
 from foliant.sources import markup, pdf
 
@@ -109,6 +114,27 @@ def test_report_plan_reads_each_pass_once(spark, manual):
     assert scans(judgment.judge_documents(plans.assemble(manual, found), lambda: None, "Judge.")) == 1
 
 
+def test_saved_table_gives_freed_memory_back(spark):
+    """What the driver's JVM frees outside its heap stays with it otherwise, pass after pass (buffers that stay keep the rest from going by itself)."""
+    jvm = spark._jvm
+
+    def held():
+        return sum(int(x) for x in re.findall(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup").read_text())) / 1024
+
+    one = spark.range(1).cache()
+    one.count()
+    buffers = [jvm.java.nio.ByteBuffer.allocateDirect(60_000) for _ in range(4000)]
+    stay = buffers[::40]
+    del buffers
+    for _ in range(5):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.3)
+    before = held()
+    assert saved(one).count() == 1
+    assert before - held() > 100 and stay
+
+
 def test_spelling_plan_carries_no_texts(spark):
     from foliant.queries import spelling_candidates
 
