@@ -114,6 +114,21 @@ def test_report_plan_reads_each_pass_once(spark, manual):
     assert scans(judgment.judge_documents(plans.assemble(manual, found), lambda: None, "Judge.")) == 1
 
 
+def joins_by_broadcast(df):
+    return re.findall(r"Broadcast\w*Join\w*", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_passes_deal_out_what_their_files_make_look_small(spark, manual, monkeypatch):
+    """Repeated rows take little room in files, so a broadcast chosen by that would bring millions to the driver; only words that were counted may be broadcast."""
+    seen = []
+    monkeypatch.setattr(spelling, "BROADCAST_WORDS", 0)
+    for module in (plans, spelling):
+        monkeypatch.setattr(module, "saved", lambda df: seen.append(joins_by_broadcast(df)) or saved(df))
+    found = plans.gather(manual, spark.createDataFrame([("plan", 9)], "word string, freq long"), [("RCM", "Reliability")], expected_customer="Acme")
+    assert len(seen) > 10 and not any(seen)
+    assert not joins_by_broadcast(report.findings_json(manual, found))
+
+
 def test_saved_table_gives_freed_memory_back(spark):
     """What the driver's JVM frees outside its heap stays with it otherwise, pass after pass (buffers that stay keep the rest from going by itself)."""
     jvm = spark._jvm
