@@ -129,6 +129,27 @@ def test_passes_deal_out_what_their_files_make_look_small(spark, manual, monkeyp
     assert not joins_by_broadcast(report.findings_json(manual, found))
 
 
+FOUND = {
+    "recurring_phrases": ("rank int, phrase string, count long, proposed string, locations array<string>", (1, "Alpha Beta", 3, "AB", ["p"])), "acronym_issues": ("acronym string, problem string, detail string, locations array<string>", ("AB", "x", "y", ["p"])),
+    "spelling_candidates": ("ord long, pos int, word string, suggestion string, path string, context string", (0, 0, "wrd", "word", "p", "a wrd")),
+    "page_issues": ("problem string, detail string, location string, stage int, ord long, sub int", ("x", "y", "p", 0, 0, 0)), "toc_entries": ("ord long, title string, n long, path string", (0, "One", 1, "p")), "page_totals": ("total long", (9,)),
+    "organization_issues": ("problem string, detail string", ("x", "y")), "existing_acronyms": ("acronym string, expansions array<string>", ("CD", ["Gamma Delta"])), "organizations": ("surface string, count long", ("Acme Inc", 1)),
+    "primary_customer": ("primary string", ("Acme Inc",)), "texts": ("text string", ("Alpha Beta CD",)),
+}
+
+
+@pytest.fixture
+def found(spark):
+    return {name: saved(spark.createDataFrame([("m", *row)], f"doc_id string, {fields}")) for name, (fields, row) in FOUND.items()}
+
+
+def test_judgments_deal_out_what_their_files_make_look_small(spark, manual, found, monkeypatch):
+    seen = []
+    monkeypatch.setattr(judgment, "saved", lambda df: seen.append(joins_by_broadcast(df)) or saved(df))
+    assert not joins_by_broadcast(judgment.judge_documents(plans.assemble(manual, found), lambda: None, "Judge."))
+    assert seen == [[]]
+
+
 def test_saved_table_gives_freed_memory_back(spark):
     """What the driver's JVM frees outside its heap stays with it otherwise, pass after pass (buffers that stay keep the rest from going by itself)."""
     jvm = spark._jvm
