@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.plans.tables import dealt
+
 _META = r"([\\.^$|?*+()\[\]{}/&'-])"
 
 
@@ -47,14 +49,14 @@ def annotate_counts(table: DataFrame, texts: DataFrame) -> DataFrame:
     longest = F.array_sort("a", lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
     pattern = F.concat(F.lit("(?<![A-Za-z0-9])("), F.array_join(F.transform(longest, _quoted), "|"), F.lit(")(?![A-Za-z0-9])"))
     hits = F.when(F.size("a") > 0, F.regexp_extract_all("text", pattern, F.lit(1))).otherwise(F.array().cast("array<string>"))
-    found = texts.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", hits.alias("hits"), F.transform("e", lambda e: F.struct(e.alias("key"), count_phrase(F.col("text"), e).alias("n"))).alias("uses"))
+    found = texts.select("doc_id", "text").join(dealt(wanted), "doc_id").select("doc_id", hits.alias("hits"), F.transform("e", lambda e: F.struct(e.alias("key"), count_phrase(F.col("text"), e).alias("n"))).alias("uses"))
     both = F.concat(F.transform("hits", lambda h: F.struct(F.lit("a").alias("kind"), h.alias("key"), F.lit(1).cast("long").alias("n"))), F.transform("uses", lambda u: F.struct(F.lit("e").alias("kind"), u["key"], u["n"])))
     counted = found.select("doc_id", F.explode(both).alias("x")).groupBy("doc_id", "x.kind", "x.key").agg(F.sum("x.n").alias("n"))
 
     def of(kind: str, key: str, name: str) -> DataFrame:
         return counted.where(F.col("kind") == kind).select("doc_id", F.col("key").alias(key), F.col("n").alias(name))
 
-    out = table.join(of("a", "acronym", "acronym_count"), ["doc_id", "acronym"], "left").join(of("e", "_norm", "expansion_count"), ["doc_id", "_norm"], "left").drop("_norm")
+    out = table.join(dealt(of("a", "acronym", "acronym_count")), ["doc_id", "acronym"], "left").join(dealt(of("e", "_norm", "expansion_count")), ["doc_id", "_norm"], "left").drop("_norm")
     return out.fillna(0, ["acronym_count", "expansion_count"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import md_cell
 from foliant.operators.counts import annotate_counts, drop_phantoms
 from foliant.plans.findings import NOTE, acronym_table, assemble
+from foliant.plans.tables import dealt
 
 SHOWN_MISSPELLINGS = 60
 _COLUMNS = ("acronym", "expansion", "status", "acronym_count", "expansion_count", "note")
@@ -85,7 +86,7 @@ def render(blocks: DataFrame, found: dict[str, DataFrame], judgments: DataFrame
     if judgments is None:
         a = a.withColumn("j", F.from_json(F.lit(None).cast("string"), JUDGMENT))
     else:
-        a = a.join(judgments.select("doc_id", F.from_json("judgment", JUDGMENT).alias("j")), "doc_id", "left")
+        a = a.join(dealt(judgments.select("doc_id", F.from_json("judgment", JUDGMENT).alias("j"))), "doc_id", "left")
     j = F.col("j")
     clean = j.isNotNull() & j["_error"].isNull() & j["_parse_error"].isNull()
     tabled = F.coalesce(clean & (F.size(j["acronym_table"]) > 0), F.lit(False))
@@ -96,11 +97,11 @@ def render(blocks: DataFrame, found: dict[str, DataFrame], judgments: DataFrame
         return listed.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["row"]).alias("table"))
 
     table = rows_of(acronym_table(found), F.col("status") != "existing").withColumnRenamed("table", "plain")
-    a = a.join(table, "doc_id", "left").withColumn("judged", _none())
+    a = a.join(dealt(table), "doc_id", "left").withColumn("judged", _none())
     if judgments is not None:
         model = a.where(tabled).select("doc_id", F.explode("j.acronym_table").alias("r")).select("doc_id", "r.*")
         model = rows_of(drop_phantoms(annotate_counts(model, found["texts"])), F.upper(F.coalesce("acronym", F.lit(""))))
-        a = a.drop("judged").join(model.withColumnRenamed("table", "judged"), "doc_id", "left")
+        a = a.drop("judged").join(dealt(model.withColumnRenamed("table", "judged")), "doc_id", "left")
     source = F.when(j.isNull(), F.lit("deterministic")).when(~clean, F.lit(UNAVAILABLE)).when(tabled, _told("generated by {}", F.coalesce(j["_meta"]["model_reported"], j["_meta"]["model_requested"], F.lit("model")))).otherwise(F.lit(EMPTY_TABLE))
     head = F.concat(_told("## Acronym table  _({}; uses are exact counts from the document)_\n\n", source), F.lit(TABLE_HEAD))
 

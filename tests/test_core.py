@@ -150,6 +150,12 @@ def test_judgments_deal_out_what_their_files_make_look_small(spark, manual, foun
     assert seen == [[]]
 
 
+def test_reports_deal_out_what_their_files_make_look_small(spark, manual, found):
+    said = saved(spark.createDataFrame([("m", json.dumps({"acronym_table": [{"acronym": "CD", "expansion": "Gamma Delta", "status": "existing"}]}))], "doc_id string, judgment string"))
+    for judgments in (None, said):
+        assert not joins_by_broadcast(report.render(manual, found, judgments))
+
+
 def test_saved_table_gives_freed_memory_back(spark):
     """What the driver's JVM frees outside its heap stays with it otherwise, pass after pass (buffers that stay keep the rest from going by itself)."""
     jvm = spark._jvm
